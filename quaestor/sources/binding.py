@@ -1,8 +1,8 @@
 """Raw insurance tables derived from order-shaped source tables.
 
 `BINDINGS` holds one SELECT per raw table, in the SQL that Spark and DuckDB share, with
-`{customer}`-style places for the source tables. Columns carry staging names; `raw_tables`
-turns them into the delivered file headers.
+`{customer}`-style places for the source tables. Columns carry staging names; `raw_table` turns
+them into the headers of the delivered files.
 """
 
 from __future__ import annotations
@@ -11,11 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaestor.operators.staging import stage_all
 from quaestor.schemas import RAW_TABLES
 
-SOURCES = ("nation", "customer", "part", "orders", "lineitem", "events")
-
 BINDINGS = {
     "clienti": """
         SELECT c_custkey AS codice_cliente, c_name AS nome, c_name AS cognome, n_name AS luogo_nascita,
@@ -109,26 +106,15 @@ def source_names(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
 
-def bound_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The bindings over `<folder>/<source>.parquet`, with staging column names."""
-    sources = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in SOURCES}
-    return {
-        table: spark.sql(sql, **{name: sources[name] for name in source_names(sql)})
-        for table, sql in BINDINGS.items()
-    }
+def raw_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """One raw table over `<folder>/<source>.parquet`, under the headers of the delivered file."""
+    sql = BINDINGS[table]
+    sources = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in source_names(sql)}
+    return spark.sql(sql, **sources).select(*[
+        (F.col(c.staging) if c.staging else F.lit(None)).cast(c.type).alias(c.header)
+        for c in RAW_TABLES[table]
+    ])
 
 
 def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The bound tables under the headers of the delivered files."""
-    raw = {}
-    for table, bound in bound_tables(spark, folder).items():
-        raw[table] = bound.select(*[
-            (F.col(c.staging) if c.staging else F.lit(None)).cast(c.type).alias(c.header)
-            for c in RAW_TABLES[table]
-        ])
-    return raw
-
-
-def staged_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """`stg_*` frames over the bound tables."""
-    return stage_all(raw_tables(spark, folder))
+    return {table: raw_table(spark, folder, table) for table in BINDINGS}

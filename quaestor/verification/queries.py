@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quaestor.functions.expressions import round_to
 from quaestor.operators import checks, distributions, extracts, profile
 from quaestor.operators.extracts import CustomerFilter
-from quaestor.plans import analyses, kpis
+from quaestor.operators.staging import stage, stage_all
+from quaestor.plans import analyses, kpis, models
 from quaestor.plans.check_definitions import CHECKS
-from quaestor.plans.pipeline import INTERMEDIATE, MARTS, build_frames
+from quaestor.plans.pipeline import build_frames
 from quaestor.schemas import RAW_TABLES
-from quaestor.sources.binding import raw_tables
+from quaestor.sources.binding import raw_table, raw_tables
 from quaestor.sources.tables import head_rows, row_counts, sample_rows
 from quaestor.verification.views import AS_OF, COMPANY
 
@@ -24,29 +26,79 @@ MAP_POINTS = 7000
 
 
 class Inputs:
-    """Raw, staging, intermediate and mart frames of one folder, and the selected customers."""
+    """Frames over one folder, each built when a query first asks for it."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.raw = raw_tables(spark, folder)
-        self.frames = build_frames(self.raw, COMPANY, AS_OF)
-        self.staged = {n: f for n, f in self.frames.items() if n.startswith("stg_")}
-        self.clienti = self.frames["stg_clienti"]
-        self.polizze = self.frames["stg_polizze"]
-        self.sinistri = self.frames["stg_sinistri"]
-        self.reclami = self.frames["stg_reclami"]
-        self.abitazioni = self.frames["stg_abitazioni"]
-        self.interazioni = self.frames["stg_interazioni_clienti"]
-        self.competitors = self.frames["stg_competitor_prodotti"]
-        self.everyone = extracts.customer_demographics(self.clienti)
-        self.selected = extracts.filter_customers(self.everyone, SELECTION)
-
-    @property
+        self.spark, self.folder = spark, folder
+
+    def stage(self, table: str) -> DataFrame:
+        return stage(table, raw_table(self.spark, self.folder, table))
+
+    @cached_property
+    def clienti(self) -> DataFrame:
+        return self.stage("clienti")
+
+    @cached_property
+    def polizze(self) -> DataFrame:
+        return self.stage("polizze")
+
+    @cached_property
+    def sinistri(self) -> DataFrame:
+        return self.stage("sinistri")
+
+    @cached_property
+    def reclami(self) -> DataFrame:
+        return self.stage("reclami")
+
+    @cached_property
+    def abitazioni(self) -> DataFrame:
+        return self.stage("abitazioni")
+
+    @cached_property
+    def interazioni(self) -> DataFrame:
+        return self.stage("interazioni_clienti")
+
+    @cached_property
+    def competitors(self) -> DataFrame:
+        return self.stage("competitor_prodotti")
+
+    @cached_property
+    def raw(self) -> dict[str, DataFrame]:
+        return raw_tables(self.spark, self.folder)
+
+    @cached_property
+    def staged(self) -> dict[str, DataFrame]:
+        return stage_all(self.raw)
+
+    @cached_property
     def all_tables(self) -> dict[str, DataFrame]:
-        return {**self.raw, **self.frames}
+        return {**self.raw, **build_frames(self.raw, COMPANY, AS_OF)}
+
+    @cached_property
+    def customer_policies(self) -> DataFrame:
+        return models.int_customer_policies(self.clienti, self.polizze)
+
+    @cached_property
+    def customer_claims(self) -> DataFrame:
+        return models.int_customer_claims(self.sinistri, AS_OF)
+
+    @cached_property
+    def customer_interactions(self) -> DataFrame:
+        return models.int_customer_interactions(self.interazioni)
 
+    @cached_property
+    def everyone(self) -> DataFrame:
+        return extracts.customer_demographics(self.clienti)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return extracts.filter_customers(self.everyone, SELECTION)
+
+    @cached_property
     def policies(self) -> DataFrame:
         return extracts.of_customers(extracts.policy_extract(self.polizze), self.selected)
 
+    @cached_property
     def geography(self) -> DataFrame:
         return extracts.of_customers(extracts.customer_geography(self.clienti), self.selected)
 
@@ -66,13 +118,20 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
     return {
         # Sources
         "source_row_counts": lambda i: row_counts(i.raw),
-        "head_rows": lambda i: head_rows(i.raw["clienti"]),
+        "head_rows": lambda i: head_rows(raw_table(i.spark, i.folder, "clienti")),
         "geo_sample": lambda i: sample_rows(e.customer_geography(i.clienti), MAP_POINTS),
         # Models
-        **{
-            name: lambda i, name=name: i.frames[name]
-            for name in (*[f"stg_{t}" for t in RAW_TABLES], *INTERMEDIATE, *MARTS)
-        },
+        **{f"stg_{t}": lambda i, t=t: i.stage(t) for t in RAW_TABLES},
+        "int_customer_policies": lambda i: i.customer_policies,
+        "int_customer_claims": lambda i: i.customer_claims,
+        "int_customer_interactions": lambda i: i.customer_interactions,
+        "dim_customers": lambda i: models.dim_customers(
+            i.customer_policies, i.customer_interactions, i.customer_claims
+        ),
+        "fact_policies": lambda i: models.fact_policies(i.polizze, i.clienti, AS_OF),
+        "mart_competitor_analysis": lambda i: models.mart_competitor_analysis(
+            i.polizze, i.competitors, COMPANY
+        ),
         # Extracts and filters
         "customer_demographics": lambda i: i.everyone,
         "policy_extract": lambda i: e.policy_extract(i.polizze),
@@ -84,7 +143,7 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "complaints_extract": lambda i: e.complaints_extract(i.reclami),
         "housing_extract": lambda i: e.housing_extract(i.abitazioni),
         "filtered_customers": lambda i: i.selected,
-        "filtered_policies": lambda i: i.policies(),
+        "filtered_policies": lambda i: i.policies,
         "filter_ranges": lambda i: e.filter_ranges(i.everyone),
         "cluster_choices": lambda i: e.cluster_choices(i.everyone),
         "customer_value_metrics": lambda i: e.customer_value_metrics(i.selected),
@@ -109,9 +168,9 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "policy_trends_top": lambda i: a.policy_trends(i.polizze),
         "customer_policy_join": lambda i: a.customer_policy_join(i.clienti, i.polizze),
         "monthly_claims": lambda i: a.monthly_claims(i.sinistri),
-        "premium_by_need_area": lambda i: a.premium_by(i.policies(), "need_area", ascending=True),
-        "premium_by_product": lambda i: a.premium_by(i.policies(), "product"),
-        "city_clv": lambda i: a.city_clv(i.geography()),
+        "premium_by_need_area": lambda i: a.premium_by(i.policies, "need_area", ascending=True),
+        "premium_by_product": lambda i: a.premium_by(i.policies, "product"),
+        "city_clv": lambda i: a.city_clv(i.geography),
         "market_share_by_competitor": lambda i: a.market_share_by_competitor(i.competitors),
         "cluster_share": lambda i: a.share_of_total(i.everyone, "cluster"),
         "claim_status_share": lambda i: a.share_of_total(e.claims_extract(i.sinistri), "status"),
@@ -123,11 +182,11 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "top_complaint_products": lambda i: a.value_counts(i.reclami, "prodotto", 10),
         # Key figures
         "kpi_customers": lambda i: _rounded(k.kpi_customers(i.selected), "avg_churn_risk"),
-        "kpi_policies": lambda i: k.kpi_policies(i.policies()),
+        "kpi_policies": lambda i: k.kpi_policies(i.policies),
         "kpi_value": lambda i: _rounded(
             k.kpi_value(e.customer_value_metrics(i.selected)), "avg_churn_risk"
         ),
-        "kpi_geography": lambda i: k.kpi_geography(i.geography()),
+        "kpi_geography": lambda i: k.kpi_geography(i.geography),
         "kpi_products": lambda i: k.kpi_products(a.product_performance(i.polizze)),
         "kpi_lifecycle": lambda i: k.kpi_lifecycle(i.selected),
         "kpi_channels": lambda i: _rounded(
