@@ -42,6 +42,16 @@ def ladder(steps: Sequence[tuple[Column, str]], otherwise: str | None = None) ->
     return out.otherwise(F.lit(otherwise))
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(column: str) -> str:
+    """A column name quoted for SQL."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def total(value: Column | str) -> Column:
     """Sum that is 0, not NULL, when every value is NULL."""
     return F.coalesce(F.sum(value), F.lit(0))

@@ -10,14 +10,14 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from quaestor.functions.expressions import sql_name, sql_text
 
 NOT_NULL, RANGE, EXPRESSION = "not_null", "accepted_range", "expression_is_true"
 UNIQUE, RELATIONSHIP, VALUES = "unique", "relationships", "accepted_values"
 ROW_KINDS = (NOT_NULL, RANGE, EXPRESSION)
 
-RESULT = ["check_kind", "table_name", "column_name", "detail", "severity", "failures", "status"]
-
 
 @dataclass(frozen=True)
 class Check:
@@ -46,114 +46,112 @@ class Check:
             return f"{self.parent}.{self.parent_column}"
         return ""
 
-    def fails(self) -> Column:
-        """Whether a row fails a row check; NULL values fail only `not_null`."""
-        column = F.col(f"`{self.column}`")
+    def fails(self) -> str:
+        """SQL for whether a row fails a row check; a NULL fails only `not_null`."""
+        column = sql_name(self.column)
         if self.kind == NOT_NULL:
-            return column.isNull()
+            return f"{column} IS NULL"
         if self.kind == EXPRESSION:
-            return ~F.expr(f"(`{self.column}` {self.expression})")
-        outside = F.lit(False)
-        if self.low is not None:
-            outside = outside | (column < self.low)
-        if self.high is not None:
-            outside = outside | (column > self.high)
-        return outside
-
-
-def _status(failures: Column, severity: Column) -> Column:
-    return (
-        F.when(failures == 0, F.lit("pass"))
-        .when(severity == "warn", F.lit("warn"))
-        .otherwise(F.lit("fail"))
-    )
+            return f"NOT ({column} {self.expression})"
+        bounds = (("<", self.low), (">", self.high))
+        return " OR ".join(f"{column} {sign} {b}" for sign, b in bounds if b is not None)
 
 
 def _lines(counted: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One line per check from one row that holds the failures of check i as `f{i}`."""
-    lines = F.array(*[
-        F.struct(
-            F.lit(c.kind).alias("check_kind"),
-            F.lit(c.table).alias("table_name"),
-            F.lit(c.column).alias("column_name"),
-            F.lit(c.detail).alias("detail"),
-            F.lit(c.severity).alias("severity"),
-            F.coalesce(F.col(f"f{i}"), F.lit(0)).cast("long").alias("failures"),
-        )
+    lines = ", ".join(
+        f"""struct({sql_text(c.kind)} AS check_kind, {sql_text(c.table)} AS table_name,
+            {sql_text(c.column)} AS column_name, {sql_text(c.detail)} AS detail,
+            {sql_text(c.severity)} AS severity, coalesce(f{i}, 0L) AS failures)"""
         for i, c in enumerate(checks)
-    ])
-    return counted.select(F.inline(lines)).withColumn(
-        "status", _status(F.col("failures"), F.col("severity"))
     )
+    return counted.selectExpr(f"inline(array({lines}))")
 
 
-def _of_kind(checks: Iterable[Check], *kinds: str) -> list[Check]:
-    return [c for c in checks if c.kind in kinds]
+def _result(parts: list[DataFrame]) -> DataFrame:
+    """All lines with their status: a failing check warns or fails by its severity."""
+    return reduce(DataFrame.unionByName, parts).selectExpr(
+        "*",
+        "CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END"
+        " AS status",
+    )
 
 
-def _stacked(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _of_kind(checks: Iterable[Check], *kinds: str) -> list[Check]:
+    return [c for c in checks if c.kind in kinds]
 
 
 def row_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Failing rows of the `not_null`, range and expression checks."""
-    per_table: dict[str, list[Check]] = {}
-    for check in _of_kind(checks, *ROW_KINDS):
-        per_table.setdefault(check.table, []).append(check)
-    return _stacked([
-        _lines(
-            tables[table].agg(*[F.count_if(c.fails()).alias(f"f{i}") for i, c in enumerate(own)]),
-            own,
-        )
-        for table, own in per_table.items()
-    ])
+    return _result(_row_lines(tables, checks))
 
 
 def unique_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Known keys that occur more than once."""
-
-    def run(check: Check) -> DataFrame:
-        repeated = _key_counts(tables[check.table], check.column).filter(F.col("n") > 1)
-        return _lines(repeated.agg(F.count(F.lit(1)).alias("f0")), [check])
-
-    return _stacked([run(c) for c in _of_kind(checks, UNIQUE)])
+    return _result(_unique_lines(tables, checks))
 
 
 def relationship_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Rows whose known key the parent table does not have."""
-
-    def run(check: Check) -> DataFrame:
-        parents = tables[check.parent].select(F.col(f"`{check.parent_column}`").alias("key"))
-        orphans = _key_counts(tables[check.table], check.column).join(parents, "key", "left_anti")
-        return _lines(orphans.agg(F.sum("n").alias("f0")), [check])
-
-    return _stacked([run(c) for c in _of_kind(checks, RELATIONSHIP)])
+    return _result(_relationship_lines(tables, checks))
 
 
 def value_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Distinct known values outside the accepted list."""
-
-    def run(check: Check) -> DataFrame:
-        column = F.col(f"`{check.column}`")
-        strange = F.when(~column.isin(*check.values), column)
-        return _lines(tables[check.table].agg(F.count_distinct(strange).alias("f0")), [check])
-
-    return _stacked([run(c) for c in _of_kind(checks, VALUES)])
+    return _result(_value_lines(tables, checks))
 
 
 def check_report(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """One line per check: what was checked, how many failures, and pass, warn or fail."""
-    runs = [
-        (row_checks, ROW_KINDS),
-        (unique_checks, (UNIQUE,)),
-        (relationship_checks, (RELATIONSHIP,)),
-        (value_checks, (VALUES,)),
+    kinds = (_row_lines, _unique_lines, _relationship_lines, _value_lines)
+    return _result([line for lines in kinds for line in lines(tables, checks)])
+
+
+def _row_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
+    per_table: dict[str, list[Check]] = {}
+    for check in _of_kind(checks, *ROW_KINDS):
+        per_table.setdefault(check.table, []).append(check)
+    return [
+        _lines(
+            tables[table].selectExpr(
+                *[f"count_if({c.fails()}) AS f{i}" for i, c in enumerate(own)]
+            ),
+            own,
+        )
+        for table, own in per_table.items()
+    ]
+
+
+def _unique_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
+    return [
+        _lines(
+            _key_counts(tables[c.table], c.column).filter("n > 1").selectExpr("count(*) AS f0"),
+            [c],
+        )
+        for c in _of_kind(checks, UNIQUE)
     ]
-    return _stacked([
-        run(tables, checks).select(*RESULT) for run, kinds in runs if _of_kind(checks, *kinds)
-    ])
+
+
+def _relationship_lines(
+    tables: Mapping[str, DataFrame], checks: Iterable[Check]
+) -> list[DataFrame]:
+    lines = []
+    for c in _of_kind(checks, RELATIONSHIP):
+        parents = tables[c.parent].selectExpr(f"{sql_name(c.parent_column)} AS key")
+        orphans = _key_counts(tables[c.table], c.column).join(parents, "key", "left_anti")
+        lines.append(_lines(orphans.selectExpr("sum(n) AS f0"), [c]))
+    return lines
+
+
+def _value_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
+    lines = []
+    for c in _of_kind(checks, VALUES):
+        accepted = ", ".join(sql_text(v) for v in c.values)
+        strange = tables[c.table].filter(f"{sql_name(c.column)} NOT IN ({accepted})")
+        lines.append(_lines(strange.agg(F.count_distinct(sql_name(c.column)).alias("f0")), [c]))
+    return lines
 
 
 def _key_counts(df: DataFrame, column: str) -> DataFrame:
-    key = F.col(f"`{column}`")
-    return df.filter(key.isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    keys = df.selectExpr(f"{sql_name(column)} AS key").filter("key IS NOT NULL")
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))

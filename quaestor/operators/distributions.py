@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from quaestor.operators.quantiles import quantiles_of_weighted
+from quaestor.operators.quantiles import exact_quantiles
 from quaestor.operators.skew import weighted_values, with_group_facts
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 WHISKER_REACH = 1.5  # fixed value: whiskers reach this many interquartile ranges
 
 
@@ -71,14 +72,11 @@ def box_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     latest on the box itself.
     """
     weighted = weighted_values(df, value, [group])
-    quartiles = quantiles_of_weighted(df, weighted, value, (0.25, 0.5, 0.75), [group])
-    q1, q3 = F.col("quantiles")[0], F.col("quantiles")[2]
-    boxes = quartiles.select(
-        group, "n",
-        q1.alias("q1"), F.col("quantiles")[1].alias("median"), q3.alias("q3"),
-        (q1 - WHISKER_REACH * (q3 - q1)).alias("floor"),
-        (q3 + WHISKER_REACH * (q3 - q1)).alias("ceiling"),
-    )
+    quartiles = exact_quantiles(df, value, QUARTILES, [group], weighted=weighted)
+    q1, q3 = F.col("q1"), F.col("q3")
+    boxes = quartiles.withColumns({
+        "floor": q1 - WHISKER_REACH * (q3 - q1), "ceiling": q3 + WHISKER_REACH * (q3 - q1)
+    })
     v = F.col("v")
     below, above = v < F.col("floor"), v > F.col("ceiling")
     inside = F.when(~below & ~above, v)

@@ -9,9 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from quaestor.functions.expressions import ratio
+from quaestor.functions.expressions import ratio, sql_name, sql_text
 from quaestor.operators.quantiles import exact_quantiles
 
 Tables = Mapping[str, DataFrame]
@@ -26,10 +26,6 @@ def _columns_of(df: DataFrame, *kinds: type[T.DataType]) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def _quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def _melted(tables: Tables, kinds: Sequence[type[T.DataType]], value_type: str) -> DataFrame:
     """(table_name, column_name, value) of all columns of some kinds."""
 
@@ -37,11 +33,11 @@ def _melted(tables: Tables, kinds: Sequence[type[T.DataType]], value_type: str)
         columns = _columns_of(df, *kinds)
         if not columns:
             return None
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("column_name"), _quoted(c).cast(value_type).alias("value"))
+        cells = ", ".join(
+            f"struct({sql_text(c)} AS column_name, CAST({sql_name(c)} AS {value_type}) AS value)"
             for c in columns
-        ])
-        return df.select(F.lit(name).alias("table_name"), F.inline(cells))
+        )
+        return df.selectExpr(f"{sql_text(name)} AS table_name", f"inline(array({cells}))")
 
     return _stacked(tables, melt)
 
@@ -50,25 +46,26 @@ def profile_columns(tables: Tables) -> DataFrame:
     """Type, known and missing values per column, in one pass over each table."""
 
     def profile(name: str, df: DataFrame) -> DataFrame:
-        known = {f"known_{i}": F.count(_quoted(f.name)) for i, f in enumerate(df.schema.fields)}
-        counts = df.agg(
-            F.count(F.lit(1)).alias("rows"), *[c.alias(alias) for alias, c in known.items()]
+        fields = list(enumerate(df.schema.fields))
+        counts = df.selectExpr(
+            "count(*) AS rows", *[f"count({sql_name(f.name)}) AS known_{i}" for i, f in fields]
         )
-        lines = F.array(*[
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.col(f"known_{i}").alias("non_null_count"),
-                (F.col("rows") - F.col(f"known_{i}")).alias("null_count"),
-                (ratio(F.col("rows") - F.col(f"known_{i}"), F.col("rows")) * 100).alias("null_pct"),
-            )
-            for i, f in enumerate(df.schema.fields)
-        ])
-        return counts.select(F.lit(name).alias("table_name"), F.inline(lines)).withColumn(
-            "null_pct", F.round(F.col("null_pct") * 10) / 10
+        lines = ", ".join(
+            f"""struct({sql_text(f.name)} AS column_name,
+                {sql_text(f.dataType.simpleString())} AS data_type,
+                known_{i} AS non_null_count,
+                rows - known_{i} AS null_count)"""
+            for i, f in fields
+        )
+        return counts.selectExpr(
+            f"{sql_text(name)} AS table_name", "rows", f"inline(array({lines}))"
         )
 
-    return _stacked(tables, profile)
+    missing = ratio(F.col("null_count"), F.col("rows"))
+    return _stacked(tables, profile).select(
+        "table_name", "column_name", "data_type", "non_null_count", "null_count",
+        (F.round(missing * 1000) / 10).alias("null_pct"),
+    )
 
 
 def profile_nulls(tables: Tables) -> DataFrame:
@@ -83,20 +80,26 @@ def profile_nulls(tables: Tables) -> DataFrame:
 
 def profile_numeric(tables: Tables) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of every numeric column."""
-    cells = _melted(tables, [T.NumericType], "double")
     keys = ["table_name", "column_name"]
-    moments = cells.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(cells, "value", (0.25, 0.5, 0.75), keys).select(
-        *keys, *[F.col("quantiles")[i].alias(q) for i, q in enumerate(("q25", "q50", "q75"))]
+    described = exact_quantiles(
+        _melted(tables, [T.NumericType], "double"),
+        "value",
+        {"q25": 0.25, "q50": 0.5, "q75": 0.75},
+        keys,
+        moments={
+            "mean": F.avg("v"), "std": F.stddev_samp("v"), "min": F.min("v"), "max": F.max("v"),
+        },
     )
-    return moments.join(quartiles, keys, "left").select(
-        *keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    # Columns without any value have a line too. One line per column, so few rows to broadcast.
+    spark = next(iter(tables.values())).sparkSession
+    columns = [(name, c) for name, df in tables.items() for c in _columns_of(df, T.NumericType)]
+    return (
+        spark.createDataFrame(columns, "table_name string, column_name string")
+        .join(F.broadcast(described), keys, "left")
+        .select(
+            *keys, F.coalesce("n", F.lit(0)).alias("count"),
+            "mean", "std", "min", "q25", "q50", "q75", "max",
+        )
     )
 
 
@@ -153,27 +156,23 @@ def profile_dates(tables: Tables) -> DataFrame:
         columns = _columns_of(df, T.DateType)
         if not columns:
             return None
-        ends = df.agg(*[
-            F.struct(F.min(_quoted(c)).alias("first"), F.max(_quoted(c)).alias("last")).alias(f"c{i}")
+        ends = df.selectExpr(*[
+            f"struct(min({sql_name(c)}) AS first, max({sql_name(c)}) AS last) AS c{i}"
             for i, c in enumerate(columns)
         ])
-        lines = F.array(*[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.col(f"c{i}.first").alias("min_date"),
-                F.col(f"c{i}.last").alias("max_date"),
-                F.datediff(f"c{i}.last", f"c{i}.first").cast("long").alias("range_days"),
-            )
+        lines = ", ".join(
+            f"""struct({sql_text(c)} AS column_name, c{i}.first AS min_date, c{i}.last AS max_date,
+                CAST(datediff(c{i}.last, c{i}.first) AS bigint) AS range_days)"""
             for i, c in enumerate(columns)
-        ])
-        return ends.select(F.lit(name).alias("table_name"), F.inline(lines))
+        )
+        return ends.selectExpr(f"{sql_text(name)} AS table_name", f"inline(array({lines}))")
 
     return _stacked(tables, profile)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows, NULL equal to NULL, with all rows."""
-    copies = df.groupBy(*[_quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies_"))
+    copies = df.groupBy(*[sql_name(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies_"))
     return copies.agg(
         F.coalesce(F.sum("copies_"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("copies_") - 1), F.lit(0)).alias("duplicate_rows"),

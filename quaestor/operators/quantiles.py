@@ -8,7 +8,7 @@ by a running sum.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,46 +20,43 @@ BRACKET_MARGIN = 10 / SKETCH_ACCURACY
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()
-) -> DataFrame:
-    """`groups`, the number of known values `n` and the array `quantiles`, in order of
-    `probabilities`. NULL groups are left out."""
-    return quantiles_of_weighted(
-        df, weighted_values(df, value, groups), value, probabilities, groups
-    )
-
-
-def quantiles_of_weighted(
     df: DataFrame,
-    weighted: DataFrame,
     value: str,
-    probabilities: Sequence[float],
+    probabilities: Mapping[str, float],
     groups: Sequence[str] = (),
+    moments: Mapping[str, Column] | None = None,
+    weighted: DataFrame | None = None,
 ) -> DataFrame:
-    """`exact_quantiles` when the `weighted_values` of the frame are at hand."""
-    groups = list(groups)
-    probabilities = sorted(probabilities)
+    """`groups`, the number of known values `n`, and one column per named probability.
+
+    `moments` are further aggregates of the value, there as `v`, taken in the sketch's pass.
+    `weighted` are the frame's `weighted_values`, if at hand. NULL groups are left out.
+    """
+    groups, moments = list(groups), dict(moments or {})
+    if weighted is None:
+        weighted = weighted_values(df, value, groups)
+    names = sorted(probabilities, key=probabilities.get)
     reach = [
-        min(max(p + side, 0.0), 1.0)
-        for p in probabilities
+        min(max(probabilities[name] + side, 0.0), 1.0)
+        for name in names
         for side in (-BRACKET_MARGIN, BRACKET_MARGIN)
     ]
     known = df.select(*groups, F.col(value).cast("double").alias("v")).dropna()
     brackets = known.groupBy(*groups).agg(
-        F.percentile_approx("v", reach, F.lit(SKETCH_ACCURACY)).alias("edges")
+        F.percentile_approx("v", reach, F.lit(SKETCH_ACCURACY)).alias("edges"),
+        F.count(F.lit(1)).alias("n"),
+        *[moment.alias(name) for name, moment in moments.items()],
     )
+    facts = [*groups, "n", *moments]
 
     v, edges = F.col("v"), F.col("edges")
-    lows = [edges[2 * i] for i in range(len(probabilities))]
-    highs = [edges[2 * i + 1] for i in range(len(probabilities))]
-    inside = F.lit(False)
-    gap = F.lit(0)
-    for low, high in zip(lows, highs):
-        inside = inside | v.between(low, high)
-        gap = gap + F.when(v > high, 1).otherwise(0)
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(len(names)):
+        inside = inside | v.between(edges[2 * i], edges[2 * i + 1])
+        gap = gap + F.when(v > edges[2 * i + 1], 1).otherwise(0)
     pieces = (
         with_group_facts(weighted, brackets, groups, spread_by="v")
-        .groupBy(*groups, gap.alias("gap"), F.when(inside, v).alias("exact"))
+        .groupBy(*facts, gap.alias("gap"), F.when(inside, v).alias("exact"))
         .agg(F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
 
@@ -70,8 +67,6 @@ def quantiles_of_weighted(
     ranked = pieces.withColumn("stop", F.sum("w").over(so_far)).withColumn(
         "start", F.col("stop") - F.col("w")
     )
-    totals = Window.partitionBy(*groups)
-    ranked = ranked.withColumn("n", F.max("stop").over(totals))
 
     def at(rank: Column) -> Column:
         covers = (rank >= F.col("start")) & (rank < F.col("stop"))
@@ -82,20 +77,14 @@ def quantiles_of_weighted(
         )
         return F.max(F.when(covers, found))
 
-    selected = []
-    for i, p in enumerate(probabilities):
-        position = (F.col("n") - 1) * F.lit(float(p))
-        selected += [
-            at(F.floor(position)).alias(f"below_{i}"),
-            at(F.ceil(position)).alias(f"above_{i}"),
-        ]
-    picked = ranked.groupBy(*groups).agg(F.max("n").alias("n"), *selected)
+    position = {name: (F.col("n") - 1) * F.lit(float(probabilities[name])) for name in names}
+    picked = ranked.groupBy(*facts).agg(
+        *[at(F.floor(position[name])).alias(f"{name}_below") for name in names],
+        *[at(F.ceil(position[name])).alias(f"{name}_above") for name in names],
+    )
 
-    def between(i: int, p: float) -> Column:
-        position = (F.col("n") - 1) * F.lit(float(p))
-        below, above = F.col(f"below_{i}"), F.col(f"above_{i}")
-        return below + (above - below) * (position - F.floor(position))
+    def interpolated(name: str) -> Column:
+        below, above = F.col(f"{name}_below"), F.col(f"{name}_above")
+        return below + (above - below) * (position[name] - F.floor(position[name]))
 
-    return picked.select(
-        *groups, "n", F.array(*[between(i, p) for i, p in enumerate(probabilities)]).alias("quantiles")
-    )
+    return picked.select(*facts, *[interpolated(name).alias(name) for name in probabilities])

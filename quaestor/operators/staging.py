@@ -17,7 +17,7 @@ REQUIRED_DESCRIPTION = {"sinistri": "sinistro", "reclami": "reclami_e_info"}
 
 def stage(table: str, raw: DataFrame) -> DataFrame:
     """Staging frame of one raw table."""
-    staged = raw.select(*[F.col(f"`{c.header}`").alias(c.staging) for c in staging_columns(table)])
+    staged = raw.selectExpr(*[f"`{c.header}` AS {c.staging}" for c in staging_columns(table)])
     described_by = REQUIRED_DESCRIPTION.get(table)
     return staged.filter(F.col(described_by).isNotNull()) if described_by else staged
 

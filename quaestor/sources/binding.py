@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quaestor.schemas import RAW_TABLES
 
@@ -110,8 +110,8 @@ def raw_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One raw table over `<folder>/<source>.parquet`, under the headers of the delivered file."""
     sql = BINDINGS[table]
     sources = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in source_names(sql)}
-    return spark.sql(sql, **sources).select(*[
-        (F.col(c.staging) if c.staging else F.lit(None)).cast(c.type).alias(c.header)
+    return spark.sql(sql, **sources).selectExpr(*[
+        f"CAST({c.staging or 'NULL'} AS {c.type.simpleString()}) AS `{c.header}`"
         for c in RAW_TABLES[table]
     ])
 
