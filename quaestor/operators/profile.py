@@ -89,8 +89,10 @@ def profile_numeric(tables: Tables) -> DataFrame:
         moments={
             "mean": F.avg("v"), "std": F.stddev_samp("v"), "min": F.min("v"), "max": F.max("v"),
         },
+        few_groups=True,
     )
-    # Columns without any value have a line too. One line per column, so few rows to broadcast.
+    # Columns without any value have a line too. The groups are the columns of the given tables,
+    # which bounds both broadcasts.
     spark = next(iter(tables.values())).sparkSession
     columns = [(name, c) for name, df in tables.items() for c in _columns_of(df, T.NumericType)]
     return (

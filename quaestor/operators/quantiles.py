@@ -26,15 +26,18 @@ def exact_quantiles(
     groups: Sequence[str] = (),
     moments: Mapping[str, Column] | None = None,
     weighted: DataFrame | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """`groups`, the number of known values `n`, and one column per named probability.
 
     `moments` are further aggregates of the value, there as `v`, taken in the sketch's pass.
     `weighted` are the frame's `weighted_values`, if at hand. NULL groups are left out.
+
+    `few_groups` promises that the number of groups is bounded by something small, such as the
+    columns of a table. The brackets are then broadcast, and values outside of them never leave
+    the task that reads them; otherwise the distinct values are shuffled once.
     """
     groups, moments = list(groups), dict(moments or {})
-    if weighted is None:
-        weighted = weighted_values(df, value, groups)
     names = sorted(probabilities, key=probabilities.get)
     reach = [
         min(max(probabilities[name] + side, 0.0), 1.0)
@@ -47,17 +50,23 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("n"),
         *[moment.alias(name) for name, moment in moments.items()],
     )
-    facts = [*groups, "n", *moments]
+    if few_groups:
+        bracketed = known.withColumn("w", F.lit(1)).join(F.broadcast(brackets), groups)
+    else:
+        if weighted is None:
+            weighted = weighted_values(df, value, groups)
+        bracketed = with_group_facts(weighted, brackets, groups, spread_by="v")
+
+    def carried() -> list[Column]:
+        return [F.first(name).alias(name) for name in ("n", *moments)]
 
     v, edges = F.col("v"), F.col("edges")
     inside, gap = F.lit(False), F.lit(0)
     for i in range(len(names)):
         inside = inside | v.between(edges[2 * i], edges[2 * i + 1])
         gap = gap + F.when(v > edges[2 * i + 1], 1).otherwise(0)
-    pieces = (
-        with_group_facts(weighted, brackets, groups, spread_by="v")
-        .groupBy(*facts, gap.alias("gap"), F.when(inside, v).alias("exact"))
-        .agg(F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("high"))
+    pieces = bracketed.groupBy(*groups, gap.alias("gap"), F.when(inside, v).alias("exact")).agg(
+        F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("high"), *carried()
     )
 
     # Each piece covers the ranks [start, stop) of its group.
@@ -78,7 +87,8 @@ def exact_quantiles(
         return F.max(F.when(covers, found))
 
     position = {name: (F.col("n") - 1) * F.lit(float(probabilities[name])) for name in names}
-    picked = ranked.groupBy(*facts).agg(
+    picked = ranked.groupBy(*groups).agg(
+        *carried(),
         *[at(F.floor(position[name])).alias(f"{name}_below") for name in names],
         *[at(F.ceil(position[name])).alias(f"{name}_above") for name in names],
     )
@@ -87,4 +97,4 @@ def exact_quantiles(
         below, above = F.col(f"{name}_below"), F.col(f"{name}_above")
         return below + (above - below) * (position[name] - F.floor(position[name]))
 
-    return picked.select(*facts, *[interpolated(name).alias(name) for name in probabilities])
+    return picked.select(*groups, "n", *moments, *[interpolated(name).alias(name) for name in probabilities])

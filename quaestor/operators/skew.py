@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-SALTS = 32
+SALTS = 256
 
 
 def weighted_values(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
