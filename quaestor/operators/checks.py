@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from quaestor.functions.expressions import sql_name, sql_text
+from quaestor.functions.frames import stacked
 
 NOT_NULL, RANGE, EXPRESSION = "not_null", "accepted_range", "expression_is_true"
 UNIQUE, RELATIONSHIP, VALUES = "unique", "relationships", "accepted_values"
@@ -70,7 +70,7 @@ def _lines(counted: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 def _result(parts: list[DataFrame]) -> DataFrame:
     """All lines with their status: a failing check warns or fails by its severity."""
-    return reduce(DataFrame.unionByName, parts).selectExpr(
+    return stacked(parts).selectExpr(
         "*",
         "CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END"
         " AS status",

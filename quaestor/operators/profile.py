@@ -7,19 +7,19 @@ Every function takes one frame or a mapping of named frames and gives one frame
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from quaestor.functions.expressions import ratio, sql_name, sql_text
+from quaestor.functions.frames import stacked
 from quaestor.operators.quantiles import exact_quantiles
 
 Tables = Mapping[str, DataFrame]
 
 
 def _stacked(tables: Tables, profile: Callable[[str, DataFrame], DataFrame | None]) -> DataFrame:
-    parts = [p for name, df in tables.items() if (p := profile(name, df)) is not None]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [profile(name, df) for name, df in tables.items()]
+    return stacked([p for p in parts if p is not None])
 
 
 def _columns_of(df: DataFrame, *kinds: type[T.DataType]) -> list[str]:

@@ -126,7 +126,7 @@ def product_performance(polizze: DataFrame) -> DataFrame:
             _n().alias("policy_count"),
             F.avg("premio_totale_annuo").alias("avg_premium"),
         )
-        .orderBy(F.desc_nulls_last("total_premium"))
+        .orderBy(F.desc_nulls_last("total_premium"), "product", "need_area")
     )
 
 
@@ -221,11 +221,15 @@ def multi_claim_customers(
     per_customer = sinistri.groupBy(CUSTOMER_KEY).agg(
         F.count("sinistro").alias("claims"), F.sum("importo_liquidato").alias("paid")
     )
+    names = clienti.groupBy(CUSTOMER_KEY, "nome", "cognome").agg(_n().alias("copies"))
+    copies = F.col("copies")
     ranked = (
-        clienti.select(CUSTOMER_KEY, "nome", "cognome")
-        .join(per_customer, CUSTOMER_KEY)
-        .groupBy(CUSTOMER_KEY, "nome", "cognome")
-        .agg(F.sum("claims").alias("total_claims"), F.sum("paid").cast("double").alias("total_paid"))
+        names.join(per_customer, CUSTOMER_KEY)
+        .select(
+            CUSTOMER_KEY, "nome", "cognome",
+            (copies * F.col("claims")).alias("total_claims"),
+            (copies * F.col("paid")).cast("double").alias("total_paid"),
+        )
         .filter(F.col("total_claims") > 1)
         .orderBy(F.desc("total_claims"), CUSTOMER_KEY, "nome", "cognome")
     )

@@ -63,8 +63,10 @@ def int_customer_policies(clienti: DataFrame, polizze: DataFrame) -> DataFrame:
     """One row per customer with the totals of the policies held.
 
     A customer without policies counts one policy in total (the unmatched outer row) and has
-    NULL amounts. Customer rows that repeat the whole profile merge and add up, as grouping the
-    joined rows by the profile would do; that last grouping reuses the join's partitioning.
+    NULL amounts. Customer rows that repeat the whole profile merge and add up, as they would if
+    the joined rows were grouped by the profile. Both sides are grouped before the join: neither
+    copies of a customer nor the policies of one customer travel row by row, and on tables
+    bucketed by customer neither grouping nor join moves the customers.
     """
     per_customer = polizze.groupBy(CUSTOMER_KEY).agg(
         F.count_distinct("prodotto").alias("products"),
@@ -82,28 +84,27 @@ def int_customer_policies(clienti: DataFrame, polizze: DataFrame) -> DataFrame:
         F.count_if(F.col("canale_acquisizione") == ONLINE).alias("online"),
     )
 
+    profiles = clienti.groupBy(*PROFILE).agg(F.count(F.lit(1)).alias("copies"))
+    copies = F.col("copies")
+
     def added(name: str, unmatched: int = 0) -> Column:
-        return F.sum(F.coalesce(F.col(name), F.lit(unmatched)))
+        return copies * F.coalesce(F.col(name), F.lit(unmatched))
 
-    return (
-        clienti.select(*PROFILE)
-        .join(per_customer, CUSTOMER_KEY, "left")
-        .groupBy(*PROFILE)
-        .agg(
-            F.coalesce(F.max("products"), F.lit(0)).alias("num_prodotti_distinti"),
-            added("policies", unmatched=1).alias("num_polizze_totali"),
-            added("active").alias("num_polizze_attive"),
-            added("expired").alias("num_polizze_scadute"),
-            F.sum("premium").alias("premio_annuo_totale"),
-            F.max("mean_premium").alias("premio_annuo_medio"),
-            F.sum("coverage").alias("massimale_totale"),
-            F.sum("margin").alias("margine_lordo_totale"),
-            F.max("loss_ratio").alias("loss_ratio_medio"),
-            added("protection").alias("num_prodotti_protezione"),
-            added("investment").alias("num_prodotti_investimento"),
-            added("agency").alias("num_canale_agenziale"),
-            added("online").alias("num_canale_online"),
-        )
+    return profiles.join(per_customer, CUSTOMER_KEY, "left").select(
+        *PROFILE,
+        F.coalesce("products", F.lit(0)).alias("num_prodotti_distinti"),
+        added("policies", unmatched=1).alias("num_polizze_totali"),
+        added("active").alias("num_polizze_attive"),
+        added("expired").alias("num_polizze_scadute"),
+        (copies * F.col("premium")).alias("premio_annuo_totale"),
+        F.col("mean_premium").alias("premio_annuo_medio"),
+        (copies * F.col("coverage")).alias("massimale_totale"),
+        (copies * F.col("margin")).alias("margine_lordo_totale"),
+        F.col("loss_ratio").alias("loss_ratio_medio"),
+        added("protection").alias("num_prodotti_protezione"),
+        added("investment").alias("num_prodotti_investimento"),
+        added("agency").alias("num_canale_agenziale"),
+        added("online").alias("num_canale_online"),
     )
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quaestor.functions.frames import stacked
 from quaestor.schemas import RAW_TABLES
 
 LOAD_TIME_COLUMN = "_dbt_loaded_at"  # fixed value: name of the load timestamp in the marts
@@ -85,7 +85,7 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
         )
         for name, df in tables.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return stacked(counts)
 
 
 def head_rows(df: DataFrame, n: int = 100) -> DataFrame:

@@ -349,6 +349,8 @@ def _selects() -> dict[str, str]:
                 INTERVAL 1 MONTH)) AS DATE) AS m FROM dated_claims)""",
         "premium_by_need_area": _premium_by("need_area"),
         "premium_by_product": _premium_by("product"),
+        "premium_by_product_top": _premium_by("product")
+        + " ORDER BY total_premium DESC, product LIMIT 3",
         "city_clv": """
             SELECT city, CAST(ifnull(sum(clv), 0) AS BIGINT) AS total_clv,
                 count(clv) AS customer_count, avg(clv) AS avg_clv

@@ -170,6 +170,7 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "monthly_claims": lambda i: a.monthly_claims(i.sinistri),
         "premium_by_need_area": lambda i: a.premium_by(i.policies, "need_area", ascending=True),
         "premium_by_product": lambda i: a.premium_by(i.policies, "product"),
+        "premium_by_product_top": lambda i: a.premium_by(i.policies, "product", top_n=3),
         "city_clv": lambda i: a.city_clv(i.geography),
         "market_share_by_competitor": lambda i: a.market_share_by_competitor(i.competitors),
         "cluster_share": lambda i: a.share_of_total(i.everyone, "cluster"),
