@@ -82,8 +82,9 @@ def box_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     inside = F.when(~below & ~above, v)
     return (
         with_group_facts(weighted, boxes, [group], spread_by="v")
-        .groupBy(group, "n", "q1", "median", "q3")
+        .groupBy(group)
         .agg(
+            *[F.first(fact).alias(fact) for fact in ("n", "q1", "median", "q3")],
             F.min(inside).alias("lowest"),
             F.max(inside).alias("highest"),
             F.sum(F.when(below | above, F.col("w")).otherwise(0)).alias("outliers"),
@@ -134,8 +135,13 @@ def density_curve(
         with_group_facts(weighted, shape, groups, spread_by="v")
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", place)
-        .groupBy(*groups, "point", "n", "bandwidth", "x")
-        .agg(F.sum(F.col("w") * F.exp(-0.5 * distance * distance)).alias("kernels"))
-        .select(*groups, F.col("point").cast("long").alias("point"), "x",
-                (F.col("kernels") / peak).alias("density"))
+        .groupBy(*groups, "point")
+        .agg(
+            F.sum(F.col("w") * F.exp(-0.5 * distance * distance)).alias("kernels"),
+            *[F.first(fact).alias(fact) for fact in ("n", "bandwidth", "x")],
+        )
+        .select(
+            *groups, F.col("point").cast("long").alias("point"), "x",
+            (F.col("kernels") / peak).alias("density"),
+        )
     )

@@ -11,6 +11,7 @@ from quaestor.operators.staging import stage_all
 from quaestor.plans import models
 from quaestor.plans.check_definitions import CHECKS
 from quaestor.plans.models import AsOf
+from quaestor.schemas import CUSTOMER_KEY
 from quaestor.sources.tables import register_views, save_table, with_load_time
 
 INTERMEDIATE = ("int_customer_policies", "int_customer_claims", "int_customer_interactions")
@@ -47,13 +48,15 @@ def run_pipeline(
     database: str = "main",
     as_of: AsOf = None,
     checks: Sequence[Check] = tuple(CHECKS),
+    customer_buckets: int | None = None,
 ) -> DataFrame:
     """Register views, rewrite the mart tables in `<database>_marts` and return the check report.
 
     Staging and intermediate frames become temporary views; the competitor mart keeps no load
-    time. The checks read the marts back from storage. The customer aggregates are needed by a
-    mart and by the checks, so they are cached for the run; the report is small and complete
-    when this returns.
+    time. The customer dimension holds a customer once, so it can be bucketed by customer. The
+    checks read the marts back from storage. The customer aggregates are needed by a mart and by
+    the checks, so they are cached for the run; the report is small and complete when this
+    returns.
     """
     frames = build_frames(raw, company, as_of)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}_marts`")
@@ -64,7 +67,13 @@ def run_pipeline(
         for mart in MARTS:
             stamped = mart != "mart_competitor_analysis"
             table = f"{database}_marts.{mart}"
-            save_table(with_load_time(frames[mart]) if stamped else frames[mart], table)
+            bucketed = customer_buckets if mart == "dim_customers" else None
+            save_table(
+                with_load_time(frames[mart]) if stamped else frames[mart],
+                table,
+                bucket_column=CUSTOMER_KEY if bucketed else None,
+                buckets=bucketed,
+            )
             saved[mart] = spark.table(table)
         report = check_report({**raw, **frames, **saved}, checks)
         save_table(report, f"{database}_marts.check_report")

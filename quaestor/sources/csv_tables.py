@@ -42,8 +42,9 @@ def load_csv_tables(
     tables: Iterable[str] = tuple(RAW_TABLES),
     bucket_column: str | None = None,
     buckets: int | None = None,
+    multi_line: bool = False,
 ) -> list[str]:
-    """Load `<folder>/<table>.csv` into `database`, and return the tables that exist afterwards.
+    """Load `<folder>/<table>.csv` into `database`, and return the tables whose file was there.
 
     `replace` recreates a table, otherwise an existing one is kept as it is. A file that is not
     there is warned about and skipped.
@@ -53,7 +54,7 @@ def load_csv_tables(
     for table in tables:
         path = f"{folder.rstrip('/')}/{table}.csv"
         try:
-            df = read_csv_table(spark, table, path)
+            df = read_csv_table(spark, table, path, multi_line)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error.getCondition() or ""):
                 raise

@@ -23,8 +23,11 @@ def save_table(
     """Save as a Parquet table.
 
     Tables bucketed and sorted by the same column into the same number of buckets join and
-    aggregate on it without a shuffle.
+    aggregate on it without a shuffle. One task writes one bucket, so bucket only by a column
+    whose values are even; leave a table plain if one value may dominate it.
     """
+    if bucket_column:
+        df = df.repartition(buckets, bucket_column)
     writer = df.write.format("parquet").mode(mode)
     if path:
         writer = writer.option("path", path)

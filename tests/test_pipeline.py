@@ -28,7 +28,9 @@ def test_files_to_marts(spark, tmp_path, database, buckets):
     raw = read_raw_tables(spark, database)
     assert len(raw) == 7
     for _ in range(2):  # the second run rewrites the tables
-        lines = run_pipeline(spark, raw, samples.COMPANY, database, samples.AS_OF)
+        lines = run_pipeline(
+            spark, raw, samples.COMPANY, database, samples.AS_OF, customer_buckets=buckets
+        )
     expected = build_frames(samples.raw_frames(spark), samples.COMPANY, samples.AS_OF)
     for mart in MARTS:
         saved = spark.table(f"{database}_marts.{mart}")
