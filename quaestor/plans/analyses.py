@@ -8,6 +8,13 @@ from quaestor.functions.expressions import ratio, round_to, total
 from quaestor.operators.extracts import claims_extract
 from quaestor.plans.models import ACTIVE
 from quaestor.schemas import CUSTOMER_KEY
+# The averages of a cluster profile.
+CLUSTER_AVERAGES = {
+    "avg_age": "eta", "avg_income": "reddito", "avg_policies": "num_polizze",
+    "avg_clv": "clv_stimato", "avg_engagement": "engagement_score",
+    "avg_churn_risk": "churn_probability", "avg_satisfaction": "satisfaction_score",
+}
+
 
 def _n() -> Column:
     return F.count(F.lit(1))
@@ -202,13 +209,7 @@ def cluster_summary(clienti: DataFrame) -> DataFrame:
         .groupBy(F.col("cluster_risposta").alias("cluster"))
         .agg(
             _n().alias("customer_count"),
-            F.avg("eta").alias("avg_age"),
-            F.avg("reddito").alias("avg_income"),
-            F.avg("num_polizze").alias("avg_policies"),
-            F.avg("clv_stimato").alias("avg_clv"),
-            F.avg("engagement_score").alias("avg_engagement"),
-            F.avg("churn_probability").alias("avg_churn_risk"),
-            F.avg("satisfaction_score").alias("avg_satisfaction"),
+            *[F.avg(column).alias(name) for name, column in CLUSTER_AVERAGES.items()],
         )
         .orderBy("cluster")
     )

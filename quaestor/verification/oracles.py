@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from quaestor.operators import extracts
 from quaestor.operators.checks import (
     EXPRESSION, NOT_NULL, RANGE, RELATIONSHIP, ROW_KINDS, UNIQUE, VALUES, Check,
 )
 from quaestor.plans.check_definitions import CHECKS
 from quaestor.schemas import RAW_TABLES, staging_columns
-from quaestor.verification.views import VIEWS, with_views
+from quaestor.verification.views import renamed, with_views
 
 
 def _rounded(expression: str, digits: int = 6) -> str:
@@ -245,25 +246,14 @@ def _selects() -> dict[str, str]:
         # Extracts and filters
         "customer_demographics": "SELECT * FROM demographics",
         "policy_extract": "SELECT * FROM policies",
-        "interaction_extract": """
-            SELECT codice_cliente AS customer_id, tipo_interazione AS interaction_type,
-                durata_minuti AS duration_minutes, conversione AS conversion,
-                data_interazione AS interaction_date FROM stg_interazioni_clienti""",
+        "interaction_extract": renamed("stg_interazioni_clienti", extracts.INTERACTION),
         "customer_geography": "SELECT * FROM geography",
-        "value_extract": """
-            SELECT engagement_score, churn_probability, clv, cluster FROM demographics
-            WHERE engagement_score IS NOT NULL""",
+        "value_extract": renamed("stg_clienti", extracts.VALUE)
+        + " WHERE engagement_score IS NOT NULL",
         "claims_extract": "SELECT * FROM dated_claims",
-        "competitor_extract": """
-            SELECT competitor, tipo_prodotto AS product_type, premio_medio AS avg_premium,
-                rating_clienti AS rating, quota_mercato_perc AS market_share
-            FROM stg_competitor_prodotti""",
-        "complaints_extract": """
-            SELECT prodotto AS product, area_bisogno AS need_area,
-                reclami_e_info AS complaint_type FROM stg_reclami""",
-        "housing_extract": """
-            SELECT metratura AS size_sqm, sistema_allarme AS has_alarm, luogo_residenza AS city
-            FROM stg_abitazioni""",
+        "competitor_extract": renamed("stg_competitor_prodotti", extracts.COMPETITOR),
+        "complaints_extract": renamed("stg_reclami", extracts.COMPLAINT),
+        "housing_extract": renamed("stg_abitazioni", extracts.HOUSING),
         "filtered_customers": "SELECT * FROM selected",
         "filtered_policies": "SELECT * FROM selected_policies",
         "filter_ranges": """

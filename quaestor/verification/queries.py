@@ -162,7 +162,7 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "top_products_by_premium": lambda i: a.top_products_by_premium(i.polizze),
         "channel_performance": lambda i: a.channel_performance(i.polizze, i.clienti),
         "interaction_summary": lambda i: a.interaction_summary(i.interazioni),
-        "cluster_summary": lambda i: _rounded(a.cluster_summary(i.clienti), "avg_churn_risk"),
+        "cluster_summary": lambda i: _rounded(a.cluster_summary(i.clienti), *a.CLUSTER_AVERAGES),
         "multi_claim_customers": lambda i: a.multi_claim_customers(i.clienti, i.sinistri),
         "policy_trends": lambda i: a.policy_trends(i.polizze, top_n=None),
         "policy_trends_top": lambda i: a.policy_trends(i.polizze),

@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import types as T
 
+from quaestor.operators import extracts
 from quaestor.operators.staging import REQUIRED_DESCRIPTION
+from quaestor.plans import analyses, models
 from quaestor.schemas import RAW_TABLES, staging_columns
 from quaestor.sources.binding import BINDINGS, source_names
 
@@ -17,6 +19,21 @@ SQL_TYPES = {
     T.BooleanType: "BOOLEAN",
 }
 
+
+
+def renamed(source: str, names: dict[str, str]) -> str:
+    """SELECT of a staging view under report names."""
+    columns = ", ".join(f"{old} AS {new}" for old, new in names.items())
+    return f"SELECT {columns} FROM {source}"
+
+
+def counted(column: str, words: dict[str, str]) -> str:
+    """Rows per word of a column, for a SELECT list."""
+    return ", ".join(
+        f"count(*) FILTER (WHERE {column} = '{word}') AS {name}" for name, word in words.items()
+    )
+
+
 VIEWS: dict[str, str] = {}
 for _table, _sql in BINDINGS.items():
     VIEWS[f"bind_{_table}"] = _sql.format(**{s: s for s in source_names(_sql)})
@@ -67,10 +84,7 @@ VIEWS["int_customer_claims"] = f"""
         SELECT codice_cliente,
             count(*) AS num_sinistri_totali,
             count(DISTINCT prodotto) AS num_prodotti_con_sinistri,
-            count(*) FILTER (WHERE stato_liquidazione = 'Liquidato') AS num_sinistri_liquidati,
-            count(*) FILTER (WHERE stato_liquidazione = 'In Lavorazione')
-                AS num_sinistri_in_lavorazione,
-            count(*) FILTER (WHERE stato_liquidazione = 'Respinto') AS num_sinistri_respinti,
+            {counted('stato_liquidazione', models.CLAIM_STATES)},
             CAST(sum(importo_liquidato) AS BIGINT) AS importo_totale_liquidato,
             avg(importo_liquidato) AS importo_medio_liquidato,
             max(importo_liquidato) AS importo_max_liquidato,
@@ -79,24 +93,15 @@ VIEWS["int_customer_claims"] = f"""
         FROM stg_sinistri GROUP BY codice_cliente
     )
 """
-VIEWS["int_customer_interactions"] = """
+VIEWS["int_customer_interactions"] = f"""
     SELECT codice_cliente,
         count(*) AS num_interazioni_totali,
         count(DISTINCT tipo_interazione) AS num_tipi_interazione,
-        count(*) FILTER (WHERE tipo_interazione = 'Visita Agente') AS num_visite_agente,
-        count(*) FILTER (WHERE tipo_interazione = 'Chat Online') AS num_chat_online,
-        count(*) FILTER (WHERE tipo_interazione = 'Telefono') AS num_telefonate,
-        count(*) FILTER (WHERE tipo_interazione = 'App Mobile') AS num_app_mobile,
-        count(*) FILTER (WHERE tipo_interazione = 'Email') AS num_email,
-        count(*) FILTER (WHERE esito = 'Positivo') AS num_esiti_positivi,
-        count(*) FILTER (WHERE esito = 'Negativo') AS num_esiti_negativi,
-        count(*) FILTER (WHERE esito = 'Neutrale') AS num_esiti_neutrali,
+        {counted('tipo_interazione', models.INTERACTION_TYPES)},
+        {counted('esito', models.OUTCOMES)},
+        {counted('motivo', models.REASONS)},
         count(*) FILTER (WHERE conversione) AS num_conversioni,
         CAST(count(*) FILTER (WHERE conversione) AS DOUBLE) / count(*) AS tasso_conversione,
-        count(*) FILTER (WHERE motivo = 'Consulenza') AS num_consulenza,
-        count(*) FILTER (WHERE motivo = 'Reclamo') AS num_reclami_interazioni,
-        count(*) FILTER (WHERE motivo = 'Pagamento Premio') AS num_pagamenti,
-        count(*) FILTER (WHERE motivo = 'Informazioni Prodotto') AS num_info_prodotto,
         avg(durata_minuti) AS durata_media_minuti,
         sum(durata_minuti) AS durata_totale_minuti,
         max(durata_minuti) AS durata_max_minuti,
@@ -106,12 +111,8 @@ VIEWS["int_customer_interactions"] = """
     FROM stg_interazioni_clienti GROUP BY codice_cliente
 """
 VIEWS["dim_customers"] = """
-    SELECT codice_cliente, p.nome, p.cognome, p.eta, p.professione, p.reddito, p.stato_civile,
-        p.agenzia, p.zona_residenza, p.num_prodotti_distinti, p.num_polizze_totali,
-        p.num_polizze_attive, p.premio_annuo_totale, p.premio_annuo_medio, p.massimale_totale,
-        p.margine_lordo_totale, p.num_prodotti_protezione, p.num_prodotti_investimento,
-        p.engagement_score, p.churn_probability, p.clv_stimato, p.satisfaction_score,
-        p.potenziale_crescita,
+    SELECT p.* EXCLUDE (num_polizze_scadute, loss_ratio_medio, num_canale_agenziale,
+                        num_canale_online),
         ifnull(num_interazioni_totali, 0) AS num_interazioni_totali,
         ifnull(num_conversioni, 0) AS num_conversioni,
         ifnull(tasso_conversione, 0) AS tasso_conversione,
@@ -172,26 +173,11 @@ VIEWS["market_rows"] = f"""
         CAST(massimale_medio AS DOUBLE), rating_clienti, quota_mercato_perc, NULL, 'Competitor'
     FROM stg_competitor_prodotti
 """
-VIEWS["demographics"] = """
-    SELECT codice_cliente AS customer_id, eta AS age, reddito AS income,
-        professione AS profession, luogo_residenza AS city, cluster_risposta AS cluster,
-        engagement_score, churn_probability, clv_stimato AS clv, satisfaction_score,
-        num_polizze AS policy_count, anzianita_compagnia AS tenure_years,
-        visite_ultimo_anno AS annual_visits
-    FROM stg_clienti
-"""
-VIEWS["policies"] = """
-    SELECT codice_cliente AS customer_id, prodotto AS product, area_bisogno AS need_area,
-        premio_totale_annuo AS annual_premium, stato_polizza AS policy_status,
-        canale_acquisizione AS acquisition_channel, loss_ratio, margine_lordo AS gross_margin,
-        data_emissione, data_scadenza
-    FROM stg_polizze
-"""
-VIEWS["geography"] = """
-    SELECT codice_cliente AS customer_id, latitudine AS lat, longitudine AS lon,
-        luogo_residenza AS city, clv_stimato AS clv
-    FROM stg_clienti WHERE latitudine IS NOT NULL AND longitudine IS NOT NULL
-"""
+VIEWS["demographics"] = renamed("stg_clienti", extracts.DEMOGRAPHICS)
+VIEWS["policies"] = renamed("stg_polizze", extracts.POLICY)
+VIEWS["geography"] = renamed("stg_clienti", extracts.GEOGRAPHY) + (
+    " WHERE latitudine IS NOT NULL AND longitudine IS NOT NULL"
+)
 # The customer selection the report queries use.
 VIEWS["selected"] = """
     SELECT * FROM demographics
@@ -234,19 +220,15 @@ VIEWS["contacts"] = """
         CAST(count(*) FILTER (WHERE conversione) AS DOUBLE) / count(*) * 100 AS conversion_rate
     FROM stg_interazioni_clienti GROUP BY interaction_type
 """
-VIEWS["clusters"] = """
-    SELECT cluster_risposta AS cluster, count(*) AS customer_count, avg(eta) AS avg_age,
-        avg(reddito) AS avg_income, avg(num_polizze) AS avg_policies, avg(clv_stimato) AS avg_clv,
-        avg(engagement_score) AS avg_engagement,
-        round(avg(churn_probability) * 1e6) / 1e6 AS avg_churn_risk,
-        avg(satisfaction_score) AS avg_satisfaction
+_averages = ", ".join(
+    f"round(avg({column}) * 1e6) / 1e6 AS {name}"
+    for name, column in analyses.CLUSTER_AVERAGES.items()
+)
+VIEWS["clusters"] = f"""
+    SELECT cluster_risposta AS cluster, count(*) AS customer_count, {_averages}
     FROM stg_clienti WHERE cluster_risposta IS NOT NULL GROUP BY cluster
 """
-VIEWS["dated_claims"] = """
-    SELECT data_sinistro AS claim_date, importo_liquidato AS claim_amount,
-        stato_liquidazione AS status, prodotto AS product
-    FROM stg_sinistri WHERE data_sinistro IS NOT NULL
-"""
+VIEWS["dated_claims"] = renamed("stg_sinistri", extracts.CLAIM) + " WHERE data_sinistro IS NOT NULL"
 
 
 def with_views(select: str) -> str:
