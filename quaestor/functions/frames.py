@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+
+def with_known(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows where none of the columns is NULL, as a filter that scans can take over."""
+    for column in columns:
+        df = df.filter(F.col(column).isNotNull())
+    return df
 
 
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:

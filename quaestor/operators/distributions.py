@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from quaestor.operators.quantiles import exact_quantiles
-from quaestor.operators.skew import weighted_values, with_group_facts
+from quaestor.operators.skew import known_values, weighted_values, with_group_facts
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 WHISKER_REACH = 1.5  # fixed value: whiskers reach this many interquartile ranges
@@ -20,7 +20,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     A bin holds its lower edge and the last bin also the maximum. Equal values all lie in the
     middle of a range of width 1.
     """
-    known = df.select(F.col(value).cast("double").alias("v")).dropna()
+    known = known_values(df, value)
     extent = known.agg(F.min("v").alias("low"), F.max("v").alias("high"))
     spread = F.when(F.col("low") == F.col("high"), 0.5).otherwise(0.0)
     bounds = extent.select(
@@ -113,7 +113,7 @@ def density_curve(
     """
     groups = list(groups)
     weighted = weighted_values(df, value, groups)
-    known = df.select(*groups, F.col(value).cast("double").alias("v")).dropna()
+    known = known_values(df, value, groups)
     bandwidth = F.stddev_samp("v") * F.pow(F.count("v").cast("double"), F.lit(-0.2))
     shape = (
         known.groupBy(*groups)

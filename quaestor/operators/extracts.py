@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from quaestor.functions.expressions import ladder
+from quaestor.functions.frames import with_known
 
 # Staging column -> report column.
 DEMOGRAPHICS = {
@@ -74,16 +75,16 @@ def interaction_extract(interazioni: DataFrame) -> DataFrame:
 
 def customer_geography(clienti: DataFrame) -> DataFrame:
     """Customers with both coordinates."""
-    return renamed(clienti, GEOGRAPHY).dropna(subset=["lat", "lon"])
+    return with_known(renamed(clienti, GEOGRAPHY), "lat", "lon")
 
 
 def value_extract(clienti: DataFrame) -> DataFrame:
-    return renamed(clienti, VALUE).dropna(subset=["engagement_score"])
+    return with_known(renamed(clienti, VALUE), "engagement_score")
 
 
 def claims_extract(sinistri: DataFrame) -> DataFrame:
     """Claims with a date."""
-    return renamed(sinistri, CLAIM).dropna(subset=["claim_date"])
+    return with_known(renamed(sinistri, CLAIM), "claim_date")
 
 
 def competitor_extract(competitors: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def lifecycle_stage_sql(clienti: DataFrame) -> DataFrame:
         [(tenure < years, label) for years, label in zip(STAGE_YEARS, STAGES)],
         otherwise=STAGES[-1],
     )
-    return clienti.filter(F.col("engagement_score").isNotNull()).select(
+    return with_known(clienti, "engagement_score").select(
         tenure.alias("tenure_years"), "engagement_score", "churn_probability",
         F.col("num_polizze").alias("policy_count"),
         F.col("visite_ultimo_anno").alias("annual_visits"),
@@ -133,7 +134,7 @@ class CustomerFilter:
 
 def filter_customers(demographics: DataFrame, where: CustomerFilter) -> DataFrame:
     """Customers inside the ranges; unknown age or income never passes, open range or not."""
-    kept = demographics.dropna(subset=["age", "income"])
+    kept = with_known(demographics, "age", "income")
     for column, (low, high) in (("age", where.age), ("income", where.income)):
         if low is not None:
             kept = kept.filter(F.col(column) >= low)
@@ -152,7 +153,7 @@ def filter_ranges(demographics: DataFrame) -> DataFrame:
 
 def cluster_choices(demographics: DataFrame) -> DataFrame:
     """Clusters a filter can name, sorted."""
-    return demographics.select("cluster").dropna().distinct().orderBy("cluster")
+    return with_known(demographics.select("cluster"), "cluster").distinct().orderBy("cluster")
 
 
 def of_customers(df: DataFrame, customers: DataFrame) -> DataFrame:
@@ -165,4 +166,4 @@ def customer_value_metrics(
     required: Sequence[str] = ("engagement_score", "churn_probability", "clv"),
 ) -> DataFrame:
     """Customers for whom all required scores are known."""
-    return customers.dropna(subset=list(required))
+    return with_known(customers, *required)

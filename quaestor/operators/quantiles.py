@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quaestor.operators.skew import weighted_values, with_group_facts
+from quaestor.operators.skew import known_values, weighted_values, with_group_facts
 
 # Relative rank error of the sketch, and how far beyond it a bracket reaches on either side.
 SKETCH_ACCURACY = 100_000
@@ -44,7 +44,7 @@ def exact_quantiles(
         for name in names
         for side in (-BRACKET_MARGIN, BRACKET_MARGIN)
     ]
-    known = df.select(*groups, F.col(value).cast("double").alias("v")).dropna()
+    known = known_values(df, value, groups)
     brackets = known.groupBy(*groups).agg(
         F.percentile_approx("v", reach, F.lit(SKETCH_ACCURACY)).alias("edges"),
         F.count(F.lit(1)).alias("n"),

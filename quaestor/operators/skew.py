@@ -6,15 +6,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from quaestor.functions.frames import with_known
+
 SALTS = 256
 
 
+def known_values(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """`groups` and the value as double `v`, where all are known; NaN counts as unknown."""
+    values = with_known(df, *groups, value).select(*groups, F.col(value).cast("double").alias("v"))
+    return values.filter(~F.isnan("v"))
+
+
 def weighted_values(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Distinct known values `v` per group with the number of rows `w` that hold each.
 
     Copies collapse before the shuffle, and a group spreads over tasks by its values.
     """
-    known = df.select(*groups, F.col(value).cast("double").alias("v")).dropna()
+    known = known_values(df, value, groups)
     return known.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("w"))
 
 

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
+from quaestor.functions.frames import with_known
 from quaestor.operators import distributions, extracts
 from quaestor.operators.extracts import CustomerFilter
 from quaestor.plans import analyses, kpis
@@ -64,7 +65,7 @@ def report(
             "box_churn_by_stage": distributions.box_summary(
                 lifecycle, "churn_probability", "lifecycle_stage"
             ),
-            "engagement_by_tenure": lifecycle.dropna(subset=["engagement_score"]),
+            "engagement_by_tenure": with_known(lifecycle, "engagement_score"),
             "kpi_channels": kpis.kpi_channels(channels, interactions),
             "channel_performance": channels,
             "interaction_summary": interactions,

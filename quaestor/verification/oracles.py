@@ -10,7 +10,7 @@ from quaestor.operators.checks import (
 )
 from quaestor.plans.check_definitions import CHECKS
 from quaestor.schemas import RAW_TABLES, staging_columns
-from quaestor.verification.views import renamed, with_views
+from quaestor.verification.views import AS_OF, EARLY, renamed, with_views
 
 
 def _rounded(expression: str, digits: int = 6) -> str:
@@ -193,13 +193,13 @@ def _failures(c: Check) -> str:
     return f"SELECT count(*) FROM {c.table} WHERE {condition}"
 
 
-def _checks(*kinds: str) -> str:
+def _checks(*kinds: str, table: str | None = None) -> str:
     lines = _union([
         f"""SELECT '{c.kind}' AS check_kind, '{c.table}' AS table_name,
             '{c.column}' AS column_name, '{c.detail}' AS detail, '{c.severity}' AS severity,
             ({_failures(c)}) AS failures"""
         for c in CHECKS
-        if c.kind in kinds
+        if c.kind in kinds and table in (None, c.table)
     ])
     return f"""SELECT *, CASE WHEN failures = 0 THEN 'pass'
         WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END AS status FROM ({lines})"""
@@ -436,4 +436,7 @@ def _selects() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(select) for name, select in _selects().items()}
+    expected = {name: with_views(select) for name, select in _selects().items()}
+    early = with_views(_checks(*ROW_KINDS, table="int_customer_claims"))
+    expected["dq_claims_early"] = early.replace(f"year(DATE '{AS_OF}')", f"year(DATE '{EARLY}')")
+    return expected

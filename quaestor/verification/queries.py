@@ -17,12 +17,13 @@ from quaestor.plans.pipeline import build_frames
 from quaestor.schemas import RAW_TABLES
 from quaestor.sources.binding import raw_table, raw_tables
 from quaestor.sources.tables import head_rows, row_counts, sample_rows
-from quaestor.verification.views import AS_OF, COMPANY
+from quaestor.verification.views import AS_OF, COMPANY, EARLY
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SELECTION = CustomerFilter(age=(25, 70), income=(0, 8000), cluster="High_Responder")
 MAP_POINTS = 7000
+CLAIMS = "int_customer_claims"
 
 
 class Inputs:
@@ -244,6 +245,10 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "dq_unique": lambda i: checks.unique_checks(i.all_tables, CHECKS),
         "dq_relationships": lambda i: checks.relationship_checks(i.all_tables, CHECKS),
         "dq_accepted_values": lambda i: checks.value_checks(i.all_tables, CHECKS),
+        "dq_claims_early": lambda i: checks.row_checks(
+            {CLAIMS: models.int_customer_claims(i.sinistri, EARLY)},
+            [c for c in CHECKS if c.table == CLAIMS],
+        ),
         "dq_report": lambda i: checks.check_report(i.all_tables, CHECKS),
     }
 

@@ -13,6 +13,7 @@ from quaestor.schemas import RAW_TABLES, staging_columns
 from quaestor.sources.binding import BINDINGS, source_names
 
 AS_OF = "2000-06-30"
+EARLY = "1997-12-31"  # claims reported after this date make yearly frequencies negative
 COMPANY = "Own Company"
 SQL_TYPES = {
     T.StringType: "VARCHAR", T.LongType: "BIGINT", T.DoubleType: "DOUBLE", T.DateType: "DATE",

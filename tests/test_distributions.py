@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings as hypothesis_settings, strategies as st
 
+import samples
 from quaestor.operators import distributions, profile
 from quaestor.operators.quantiles import exact_quantiles
 
@@ -164,3 +165,18 @@ def test_profiles_of_an_empty_table(spark):
     assert [(r.null_count, r.null_pct) for r in columns] == [(0, None), (0, None)]
     assert profile.profile_overview({"t": df}).first().rows == 0
     assert [r.n for r in distributions.histogram(df, "whole", 2).collect()] == [0, 0]
+
+
+def test_profiles_take_raw_headers_as_they_are(spark):
+    raw = samples.raw_frames(spark)
+    for name, function in vars(profile).items():
+        if name.startswith("profile_"):
+            assert function(raw).count() > 0, name
+    rows = distributions.histogram(raw["clienti"], "Età", 3).collect()
+    assert sum(r.n for r in rows) == len(samples.CUSTOMERS)
+
+
+def test_nan_counts_as_unknown(spark):
+    df = frame(spark, [1.0, float("nan"), 3.0])
+    row = exact_quantiles(df, "x", {"m": 0.5}).first()
+    assert (row.n, row.m) == (2, 2.0)

@@ -39,3 +39,8 @@ def test_samples_are_rows_of_the_table(spark, name):
 def test_entry_is_the_customer_dimension(spark):
     df = entry_points.entry(spark)
     assert "segmento_cliente" in df.columns and df.count() > 0
+
+
+def test_checks_find_what_is_wrong_in_whole_tables(spark):
+    failing = QUERIES["dq_claims_early"](spark, FOLDER).filter("status = 'fail'").collect()
+    assert [(r.column_name, r.detail) for r in failing] == [("frequenza_sinistri_annua", "> 0")]
