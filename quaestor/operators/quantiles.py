@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quaestor.functions.frames import settled
 from quaestor.operators.skew import known_values, weighted_values, with_group_facts
 
 # Relative rank error of the sketch, and how far beyond it a bracket reaches on either side.
@@ -35,9 +36,15 @@ def exact_quantiles(
 
     `few_groups` promises that the number of groups is bounded by something small, such as the
     columns of a table. The brackets are then broadcast, and values outside of them never leave
-    the task that reads them; otherwise the distinct values are shuffled once.
+    the task that reads them; otherwise the brackets are computed at once and kept, and the
+    distinct values are shuffled.
     """
     groups, moments = list(groups), dict(moments or {})
+    if not groups:
+        everything = df.withColumn("_all", F.lit(0))
+        return exact_quantiles(
+            everything, value, probabilities, ["_all"], moments, few_groups=True
+        ).drop("_all")
     names = sorted(probabilities, key=probabilities.get)
     reach = [
         min(max(probabilities[name] + side, 0.0), 1.0)
@@ -55,7 +62,8 @@ def exact_quantiles(
     else:
         if weighted is None:
             weighted = weighted_values(df, value, groups)
-        bracketed = with_group_facts(weighted, brackets, groups, spread_by="v")
+        # All parts of a group must see the same brackets, also a part that runs again later.
+        bracketed = with_group_facts(weighted, settled(brackets), groups, spread_by="v")
 
     def carried() -> list[Column]:
         return [F.first(name).alias(name) for name in ("n", *moments)]

@@ -180,3 +180,9 @@ def test_nan_counts_as_unknown(spark):
     df = frame(spark, [1.0, float("nan"), 3.0])
     row = exact_quantiles(df, "x", {"m": 0.5}).first()
     assert (row.n, row.m) == (2, 2.0)
+
+
+def test_brackets_are_kept_in_the_folder_the_session_names(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    exact_quantiles(frame(spark, [1.0, 2.0, 4.0]), "x", {"m": 0.5}, ["g"])
+    assert [p for p in tmp_path.rglob("part-*")]

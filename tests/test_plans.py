@@ -154,6 +154,16 @@ def test_numeric_profile_keeps_values_outside_the_brackets_where_they_are(saved)
     assert "SortMergeJoin" not in plan
 
 
+def test_missing_values_are_filtered_by_the_scan(saved, settings):
+    from quaestor.operators.extracts import customer_geography
+
+    settings(spark__sql__maxMetadataStringLength="10000")
+    plan = plan_of(customer_geography(saved["plain"]["stg_clienti"]))
+    assert "IsNotNull(Latitudine)" in plan and "IsNotNull(Longitudine)" in plan
+    plan = plan_of(distributions.density_curve(saved["plain"]["stg_clienti"], "reddito"))
+    assert "IsNotNull(Reddito)" in plan
+
+
 def test_histogram_evaluates_its_bounds_once(saved):
     df = distributions.histogram(saved["plain"]["stg_clienti"], "reddito", 30)
     assert final_plan(df).count("ReusedSubquery") > 0
