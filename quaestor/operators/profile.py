@@ -1,45 +1,55 @@
 """Profiles of whole tables: columns, missing values, numbers, words, dates, duplicates.
 
-Every function takes one frame or a mapping of named frames and gives one frame back, with
-`table_name` first.
+Every `profile_` function takes named frames and gives one frame back, with `table_name` first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from quaestor.functions.expressions import ratio, sql_name, sql_text
-from quaestor.functions.frames import stacked
+from quaestor.functions.frames import stacked, with_known
 from quaestor.operators.quantiles import exact_quantiles
+from quaestor.sources.tables import row_counts
 
 Tables = Mapping[str, DataFrame]
 
 
-def _stacked(tables: Tables, profile: Callable[[str, DataFrame], DataFrame | None]) -> DataFrame:
-    parts = [profile(name, df) for name, df in tables.items()]
-    return stacked([p for p in parts if p is not None])
+def _stacked(tables: Tables, profile: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+    return stacked([profile(name, df) for name, df in tables.items()])
 
 
-def _columns_of(df: DataFrame, *kinds: type[T.DataType]) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
+def _empty(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
 
 
-def _melted(tables: Tables, kinds: Sequence[type[T.DataType]], value_type: str) -> DataFrame:
-    """(table_name, column_name, value) of all columns of some kinds."""
+def _columns_of(df: DataFrame, kind: type[T.DataType]) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, kind)]
 
-    def melt(name: str, df: DataFrame) -> DataFrame | None:
-        columns = _columns_of(df, *kinds)
+
+def _melted(
+    tables: Tables, kind: type[T.DataType], value_type: str
+) -> tuple[DataFrame, DataFrame]:
+    """All values of the columns of one kind as (cell, value), and (cell, table_name, column_name)
+    of those columns. A number stands for the column, as long values are grouped by it."""
+    parts, names = [], []
+    for table, df in tables.items():
+        columns = _columns_of(df, kind)
         if not columns:
-            return None
+            parts.append(_empty(df, f"cell int, value {value_type}"))
+            continue
         cells = ", ".join(
-            f"struct({sql_text(c)} AS column_name, CAST({sql_name(c)} AS {value_type}) AS value)"
-            for c in columns
+            f"struct({len(names) + i} AS cell, CAST({sql_name(c)} AS {value_type}) AS value)"
+            for i, c in enumerate(columns)
         )
-        return df.selectExpr(f"{sql_text(name)} AS table_name", f"inline(array({cells}))")
-
-    return _stacked(tables, melt)
+        parts.append(df.selectExpr(f"inline(array({cells}))"))
+        names += [(len(names) + i, table, c) for i, c in enumerate(columns)]
+    named = parts[0].sparkSession.createDataFrame(
+        names, "cell int, table_name string, column_name string"
+    )
+    return stacked(parts), named
 
 
 def profile_columns(tables: Tables) -> DataFrame:
@@ -80,38 +90,29 @@ def profile_nulls(tables: Tables) -> DataFrame:
 
 def profile_numeric(tables: Tables) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of every numeric column."""
-    keys = ["table_name", "column_name"]
+    cells, columns = _melted(tables, T.NumericType, "double")
     described = exact_quantiles(
-        _melted(tables, [T.NumericType], "double"),
+        cells,
         "value",
         {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-        keys,
+        ["cell"],
         moments={
             "mean": F.avg("v"), "std": F.stddev_samp("v"), "min": F.min("v"), "max": F.max("v"),
         },
         few_groups=True,
     )
-    # Columns without any value have a line too. The groups are the columns of the given tables,
-    # which bounds both broadcasts.
-    spark = next(iter(tables.values())).sparkSession
-    columns = [(name, c) for name, df in tables.items() for c in _columns_of(df, T.NumericType)]
-    return (
-        spark.createDataFrame(columns, "table_name string, column_name string")
-        .join(F.broadcast(described), keys, "left")
-        .select(
-            *keys, F.coalesce("n", F.lit(0)).alias("count"),
-            "mean", "std", "min", "q25", "q50", "q75", "max",
-        )
+    # The groups are the columns of the given tables, which bounds both broadcasts. Columns
+    # without any value have a line too.
+    return columns.join(F.broadcast(described), "cell", "left").select(
+        "table_name", "column_name", F.coalesce("n", F.lit(0)).alias("count"),
+        "mean", "std", "min", "q25", "q50", "q75", "max",
     )
 
 
-def _word_counts(tables: Tables) -> DataFrame:
-    cells = _melted(tables, [T.StringType], "string")
-    return (
-        cells.filter(F.col("value").isNotNull())
-        .groupBy("table_name", "column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _word_counts(tables: Tables) -> tuple[DataFrame, DataFrame]:
+    cells, columns = _melted(tables, T.StringType, "string")
+    counts = with_known(cells, "value").groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts, columns
 
 
 def profile_top_values(tables: Tables, top_n: int = 20) -> DataFrame:
@@ -119,45 +120,55 @@ def profile_top_values(tables: Tables, top_n: int = 20) -> DataFrame:
 
     Each task passes on its own first `top_n` values per column only.
     """
-    by_count = Window.partitionBy("table_name", "column_name").orderBy(F.desc("n"), "value")
+    counts, columns = _word_counts(tables)
+    by_count = Window.partitionBy("cell").orderBy(F.desc("n"), "value")
     return (
-        _word_counts(tables)
-        .withColumn("position", F.row_number().over(by_count))
+        counts.withColumn("position", F.row_number().over(by_count))
         .filter(F.col("position") <= top_n)
-        .select("table_name", "column_name", F.col("position").cast("long"), "value", "n")
+        .join(F.broadcast(columns), "cell")
+        .select(
+            "table_name", "column_name", F.col("position").cast("long").alias("position"),
+            "value", "n",
+        )
     )
 
 
 def profile_categorical(tables: Tables) -> DataFrame:
     """Distinct values of every text column, and the most common one with its share of all rows."""
-    keys = ["table_name", "column_name"]
-    words = _word_counts(tables).groupBy(*keys).agg(
+    counts, columns = _word_counts(tables)
+    words = counts.groupBy("cell").agg(
         F.count(F.lit(1)).alias("distinct_values"),
         F.min(F.struct((-F.col("n")).alias("minus_n"), "value")).alias("top"),
     )
-    rows = _stacked(
-        tables,
-        lambda name, df: df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("table_name"), "rows"
-        ),
-    )
-    # One row per given table, so the broadcast is as long as the call's argument.
-    return words.join(F.broadcast(rows), "table_name").select(
-        *keys,
-        "distinct_values",
-        F.col("top.value").alias("most_common"),
-        (-F.col("top.minus_n")).alias("most_common_count"),
-        (F.round(ratio(-F.col("top.minus_n"), F.col("rows")) * 1000) / 10).alias("most_common_pct"),
+    rows = row_counts(tables)
+    # One row per given table or column, so the broadcasts are as long as the call's argument.
+    return (
+        words.join(F.broadcast(columns), "cell")
+        .join(F.broadcast(rows), "table_name")
+        .select(
+            "table_name",
+            "column_name",
+            "distinct_values",
+            F.col("top.value").alias("most_common"),
+            (-F.col("top.minus_n")).alias("most_common_count"),
+            (F.round(ratio(-F.col("top.minus_n"), F.col("row_count")) * 1000) / 10).alias(
+                "most_common_pct"
+            ),
+        )
     )
 
 
 def profile_dates(tables: Tables) -> DataFrame:
     """First and last date of every date column and the days between them."""
 
-    def profile(name: str, df: DataFrame) -> DataFrame | None:
+    def profile(name: str, df: DataFrame) -> DataFrame:
         columns = _columns_of(df, T.DateType)
         if not columns:
-            return None
+            return _empty(
+                df,
+                "table_name string, column_name string, min_date date, max_date date,"
+                " range_days bigint",
+            )
         ends = df.selectExpr(*[
             f"struct(min({sql_name(c)}) AS first, max({sql_name(c)}) AS last) AS c{i}"
             for i, c in enumerate(columns)

@@ -164,6 +164,9 @@ def test_profiles_of_an_empty_table(spark):
     columns = profile.profile_columns({"t": df}).collect()
     assert [(r.null_count, r.null_pct) for r in columns] == [(0, None), (0, None)]
     assert profile.profile_overview({"t": df}).first().rows == 0
+    assert profile.profile_dates({"t": df}).count() == 0
+    flags = {"f": df.selectExpr("whole > 0 AS flag")}
+    assert profile.profile_numeric(flags).count() == profile.profile_categorical(flags).count() == 0
     assert [r.n for r in distributions.histogram(df, "whole", 2).collect()] == [0, 0]
 
 
