@@ -1,7 +1,6 @@
 """The physical plans that carry the work at scale."""
 
 import re
-from datetime import date
 
 import pytest
 
