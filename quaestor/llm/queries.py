@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaestor.llm import decontamination, line_dedup, sentencepiece_viterbi
+from quaestor.llm import decontamination, language_id, line_dedup, quality, sentencepiece_viterbi
 from quaestor.llm.common import table
 
 #: Place of the public tokenizer's model; a parameter of the operators.
@@ -36,9 +36,37 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def remainder(divisor: int) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    model = language_id.fit(docs.filter(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("lang_best").alias("lang_pred"), "score",
+        (F.col("lang_pred") == language_id.UNKNOWN).alias("narrow"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    found = quality.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_line_dedup": op2_line_dedup,
         "op5_decontamination": op5_decontamination,
+        "op6_language_id": op6_language_id,
+        "op9_quality": op9_quality,
     }
