@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaestor.llm import decontamination, language_id, line_dedup, quality, sentencepiece_viterbi
+from quaestor.llm import decontamination, language_id, line_dedup, partenum, quality, sentencepiece_viterbi
 from quaestor.llm.common import table
 
 #: Place of the public tokenizer's model; a parameter of the operators.
@@ -31,6 +31,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and component of every document's set of word shingles."""
+    found = partenum.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the share of its shingles."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_line_dedup": op2_line_dedup,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
         "op9_quality": op9_quality,
