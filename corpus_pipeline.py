@@ -8,19 +8,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaestor.llm import decontamination, line_dedup, sentencepiece_viterbi
+from quaestor.llm import decontamination, line_dedup, partenum, quality, sentencepiece_viterbi
 from quaestor.llm.common import table, written
-from quaestor.llm.queries import MODEL_FILE
+from quaestor.llm.queries import MODEL_FILE, remainder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects leave. It learns outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter(~F.coalesce(remainder(5) == 0, F.lit(False)))
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model).filter("predicted = 1").select(*COLUMNS)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of three-line windows that occurred before leave; every document stays."""
     found = line_dedup.dedup_lines(docs)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by near equal texts, that of the smallest id stays."""
+    return partenum.keep_one(docs).select(*COLUMNS)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item leave."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
@@ -34,7 +46,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_quality),
     ("line_dedup", dedup_lines),
+    ("ngram_jaccard", one_per_group),
     ("decontamination", decontaminate),
     ("sentencepiece", encode),
 ]
