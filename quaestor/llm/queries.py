@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaestor.llm import decontamination, language_id, line_dedup, partenum, quality, sentencepiece_viterbi
+from quaestor.llm import (
+    decontamination, language_id, line_dedup, partenum, quality, sanitisation, sentencepiece_viterbi,
+)
 from quaestor.llm.common import table
 
 #: Place of the public tokenizer's model; a parameter of the operators.
@@ -68,6 +70,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text, and the terms that reveal it."""
+    found = sanitisation.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < len(sanitisation.PATTERNS))
+
+    def count(place: int, kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == place)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(place, kind) for place, kind in enumerate(sanitisation.PATTERNS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(sanitisation.span_text(base), 256).alias("base_sha256"),
+        sanitisation.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -76,4 +93,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
         "op9_quality": op9_quality,
+        "op10_sanitisation": op10_sanitisation,
     }
