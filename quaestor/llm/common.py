@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: A side is broadcast only after its rows were counted and are at most this many.
@@ -53,9 +54,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """mapInArrow, with this package sent to executors that may not have it installed."""
-    context = df.sparkSession.sparkContext
+def ship_package(context: SparkContext) -> None:
+    """Send this package to executors, which may not have it installed."""
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         archive = shutil.make_archive(
@@ -63,6 +63,11 @@ def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataF
         )
         context.addPyFile(archive)
         _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow, where executors know this package."""
+    ship_package(df.sparkSession.sparkContext)
     return df.mapInArrow(run, schema)
 
 

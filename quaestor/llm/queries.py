@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quaestor.llm import (
-    decontamination, language_id, line_dedup, partenum, quality, sanitisation, sentencepiece_viterbi,
+    decontamination, language_id, line_dedup, neighbours, partenum, quality, sanitisation,
+    sentencepiece_viterbi,
 )
 from quaestor.llm.common import table
 
@@ -61,6 +62,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every text, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
+        "op7_neighbours": op7_neighbours,
         "op9_quality": op9_quality,
         "op10_sanitisation": op10_sanitisation,
     }
