@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quaestor.llm.licence_templates import TEMPLATES
+
 LINE_DEDUP = r"""
 WITH d AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
@@ -42,5 +44,51 @@ FROM dh JOIN ih USING (h) GROUP BY doc_id, item_id, size HAVING 10 * count(*) >=
 """
 
 
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(payload)) AS n, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT)
+      >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS digest,
+    max(page_id) OVER (PARTITION BY payload) AS first_id
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+_TEMPLATES = ", ".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, _, text in TEMPLATES)
+
+LICENCES = rf"""
+WITH u AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n[\x20\t\r]*\n\s*')), NULL FROM documents
+  UNION ALL SELECT doc_id, text, NULL FROM documents
+), uw AS (
+  SELECT doc_id, line, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM u
+), ub AS (
+  SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM uw
+), tw AS (
+  SELECT n AS licence, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM (VALUES {_TEMPLATES}) AS v(n, t)
+), tb AS (
+  SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw
+), m AS (
+  SELECT doc_id, licence, line, 2 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
+  FROM ub JOIN tb ON 3 * len(a) >= 2 * len(b) AND 3 * len(b) >= 2 * len(a) AND len(a) > 0
+)
+SELECT doc_id, licence, max(dice) AS dice, CAST(min(line) AS BIGINT) AS line
+FROM m WHERE dice >= 0.8 - 1e-9 GROUP BY doc_id, licence
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP, "op5_decontamination": DECONTAMINATION}
+    return {
+        "op2_line_dedup": LINE_DEDUP,
+        "op4_licences": LICENCES,
+        "op5_decontamination": DECONTAMINATION,
+        "op8_warc": WARC,
+    }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quaestor.llm import (
-    decontamination, language_id, line_dedup, neighbours, partenum, quality, sanitisation,
-    sentencepiece_viterbi,
+    decontamination, language_id, licences, line_dedup, neighbours, partenum, quality,
+    sanitisation, sentencepiece_viterbi, warc,
 )
 from quaestor.llm.common import table
 
@@ -40,6 +40,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence that a document states."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the share of its shingles."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -67,6 +72,12 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture, written to archives and read back."""
+    found = warc.captures_of(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every text, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -96,9 +107,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_line_dedup": op2_line_dedup,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_licences": op4_licences,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
         "op7_neighbours": op7_neighbours,
+        "op8_warc": op8_warc,
         "op9_quality": op9_quality,
         "op10_sanitisation": op10_sanitisation,
     }
