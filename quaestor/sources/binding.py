@@ -3,6 +3,9 @@
 `BINDINGS` holds one SELECT per raw table, in the SQL that Spark and DuckDB share, with
 `{customer}`-style places for the source tables. Columns carry staging names; `raw_table` turns
 them into the headers of the delivered files.
+
+Every source row has its place. Customers without policies and with few of them, and customers with
+few claims, come from moving keys: their rows count for a customer nearby.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ BINDINGS = {
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
     """,
     "polizze": """
-        SELECT o_custkey AS codice_cliente, o_orderpriority AS prodotto,
+        SELECT CASE WHEN o_custkey % 10 = 0 OR o_custkey % 5 = 1 AND o_orderkey % 8 <> 0 THEN o_custkey + 2
+            ELSE o_custkey END AS codice_cliente, o_orderpriority AS prodotto,
           CASE o_orderkey % 3 WHEN 0 THEN 'Protezione' WHEN 1 THEN 'Risparmio e Investimento' ELSE 'Previdenza' END AS area_bisogno,
           CASE o_orderstatus WHEN 'O' THEN 'Attiva' WHEN 'F' THEN 'Scaduta' ELSE 'Sospesa' END AS stato_polizza,
           CASE WHEN o_orderkey % 2 = 0 THEN 'Rete Diretta Agenziale' ELSE 'Online' END AS canale_acquisizione,
@@ -58,16 +62,15 @@ BINDINGS = {
           CAST(floor(o_totalprice / 2000) AS double) AS costi_operativi,
           CASE WHEN o_orderkey % 4 = 0 THEN CAST(floor(o_totalprice / 5000) AS double) END AS importo_liquidato, o_orderkey % 4 AS sinistri_totali
         FROM {orders}
-        WHERE o_custkey % 10 <> 0 AND (o_custkey % 5 <> 1 OR o_orderkey % 8 = 0)
     """,
     "sinistri": """
-        SELECT o_custkey AS codice_cliente, o_orderpriority AS prodotto,
+        SELECT CASE WHEN l_quantity < 1 + (o_custkey % 20) THEN o_custkey WHEN o_custkey < 20 THEN 19
+            ELSE o_custkey - o_custkey % 20 - 1 END AS codice_cliente, o_orderpriority AS prodotto,
           CASE o_orderkey % 3 WHEN 0 THEN 'Protezione' WHEN 1 THEN 'Risparmio e Investimento' ELSE 'Previdenza' END AS area_bisogno,
           CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linestatus END AS sinistro, CAST(l_shipdate AS date) AS data_sinistro,
           CAST(floor(l_extendedprice) AS bigint) AS importo_liquidato,
           CASE l_returnflag WHEN 'R' THEN 'Liquidato' WHEN 'A' THEN 'In Lavorazione' ELSE 'Respinto' END AS stato_liquidazione
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-        WHERE l_quantity < 1 + (o_custkey % 20) AND CAST(l_shipdate AS date) <= DATE '2000-06-30'
     """,
     "reclami": """
         SELECT o_custkey AS codice_cliente, o_orderpriority AS prodotto,
@@ -87,7 +90,7 @@ BINDINGS = {
     "abitazioni": """
         SELECT c_custkey AS codice_cliente, n_name AS luogo_residenza,
           c_name AS indirizzo, 30 + (c_custkey * 13) % 270 AS metratura, c_custkey % 3 = 0 AS sistema_allarme
-        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
     """,
     "competitor_prodotti": """
         SELECT p_brand AS competitor,

@@ -12,7 +12,7 @@ from quaestor.plans import analyses, models
 from quaestor.schemas import RAW_TABLES, staging_columns
 from quaestor.sources.binding import BINDINGS, source_names
 
-AS_OF = "2000-06-30"
+AS_OF = "2001-12-31"  # after the last claim
 EARLY = "1997-12-31"  # claims reported after this date make yearly frequencies negative
 COMPANY = "Own Company"
 SQL_TYPES = {

@@ -4,13 +4,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_points
 import samples
 from conftest import TESTDATA
 from quaestor.operators import distributions, profile
 from quaestor.operators.staging import stage, stage_all
 from quaestor.plans import analyses, models
 from quaestor.sources.tables import save_table
+from quaestor.verification.queries import queries
 
 FOLDER = str(TESTDATA / "sf0.001")
 
@@ -62,7 +62,7 @@ def dimension(staged):
 
 
 def test_no_query_runs_python_or_multiplies_rows(spark):
-    for name, query in entry_points.queries().items():
+    for name, query in queries().items():
         plan = plan_of(query(spark, FOLDER))
         for word in ("PythonUDF", "ArrowEval", "BatchEval", "MapInPandas", "CartesianProduct",
                      "BroadcastNestedLoopJoin"):

@@ -5,10 +5,13 @@ import pytest
 import __spark_entry__ as entry_points
 import compare
 from conftest import TESTDATA
+from quaestor.sources.binding import BINDINGS, raw_table
+from quaestor.verification.oracles import oracle_sql
+from quaestor.verification.queries import queries
 
 FOLDER = str(TESTDATA / "sf0.001")
-QUERIES = entry_points.queries()
-EXPECTED = entry_points.oracle_sql()
+QUERIES = queries()
+EXPECTED = oracle_sql()
 SAMPLES = {"head_rows": 100, "geo_sample": 7000}
 
 
@@ -44,3 +47,26 @@ def test_entry_is_the_customer_dimension(spark):
 def test_checks_find_what_is_wrong_in_whole_tables(spark):
     failing = QUERIES["dq_claims_early"](spark, FOLDER).filter("status = 'fail'").collect()
     assert [(r.column_name, r.detail) for r in failing] == [("frequenza_sinistri_annua", "> 0")]
+
+
+def test_entry_points_have_every_query_of_the_library():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(EXPECTED) <= set(entry_points.oracle_sql())
+
+
+@pytest.mark.parametrize("table", ["clienti", "polizze", "sinistri", "reclami", "abitazioni", "interazioni_clienti"])
+def test_every_source_row_is_bound(spark, duck, table):
+    source = {"clienti": "customer", "polizze": "orders", "sinistri": "lineitem", "reclami": "orders",
+              "abitazioni": "customer", "interazioni_clienti": "events"}[table]
+    whole = duck.execute(f"SELECT count(*) FROM {source}").fetchall()[0][0]
+    assert table in BINDINGS and raw_table(spark, FOLDER, table).count() == whole
+
+
+@pytest.mark.parametrize("query, column, classes", [
+    ("dim_customers", "segmento_cliente", 6),
+    ("dim_customers", "classificazione_rischio", 4),
+    ("dim_customers", "classificazione_valore", 4),
+    ("fact_policies", "fascia_profittabilita", 4),
+])
+def test_every_class_occurs(spark, query, column, classes):
+    assert QUERIES[query](spark, FOLDER).select(column).distinct().count() == classes
