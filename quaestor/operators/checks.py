@@ -1,7 +1,9 @@
 """Declared data checks as Spark jobs.
 
 All checks that look at one row at a time are counted in a single pass per table, without a
-shuffle. Key checks reduce to one row per key on the map side before they meet another table.
+shuffle. All checks of keys and values share another: each table is read once for all its columns
+that any of them needs, every key becomes one row with its count in each of these columns, and a
+check compares two counts of a row. A parent table is read once, however many tables refer to it.
 """
 
 from __future__ import annotations
@@ -88,23 +90,22 @@ def row_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> Data
 
 def unique_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Known keys that occur more than once."""
-    return _result(_unique_lines(tables, checks))
+    return _result(_key_lines(tables, _of_kind(checks, UNIQUE)))
 
 
 def relationship_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Rows whose known key the parent table does not have."""
-    return _result(_relationship_lines(tables, checks))
+    return _result(_key_lines(tables, _of_kind(checks, RELATIONSHIP)))
 
 
 def value_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Distinct known values outside the accepted list."""
-    return _result(_value_lines(tables, checks))
+    return _result(_key_lines(tables, _of_kind(checks, VALUES)))
 
 
 def check_report(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """One line per check: what was checked, how many failures, and pass, warn or fail."""
-    kinds = (_row_lines, _unique_lines, _relationship_lines, _value_lines)
-    return _result([line for lines in kinds for line in lines(tables, checks)])
+    return _result([*_row_lines(tables, checks), *_key_lines(tables, checks)])
 
 
 def _row_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
@@ -122,36 +123,44 @@ def _row_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list
     ]
 
 
-def _unique_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
-    return [
-        _lines(
-            _key_counts(tables[c.table], c.column).filter("n > 1").selectExpr("count(*) AS f0"),
-            [c],
+def _key_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
+    checks = _of_kind(checks, UNIQUE, RELATIONSHIP, VALUES)
+    if not checks:
+        return []
+    # A place is a column some check needs, or the values of one that its check doesn't accept.
+    places: dict[tuple[str, str, Check | None], int] = {}
+
+    def place(table: str, column: str, check: Check | None = None) -> int:
+        return places.setdefault((table, column, check), len(places))
+
+    failures = []
+    for i, c in enumerate(checks):
+        own = place(c.table, c.column, c if c.kind == VALUES else None)
+        if c.kind == UNIQUE:
+            failing = f"count_if(n{own} > 1)"
+        elif c.kind == VALUES:
+            failing = f"count_if(n{own} > 0)"
+        else:
+            parent = place(c.parent, c.parent_column)
+            failing = f"sum(CASE WHEN n{parent} = 0 THEN n{own} ELSE 0 END)"
+        failures.append(f"{failing} AS f{i}")
+    rows = []
+    for table in dict.fromkeys(table for table, _, _ in places):
+        cells = ", ".join(
+            f"struct({i} AS place, {_key(column, check)} AS key)"
+            for (owner, column, check), i in places.items()
+            if owner == table
         )
-        for c in _of_kind(checks, UNIQUE)
-    ]
-
-
-def _relationship_lines(
-    tables: Mapping[str, DataFrame], checks: Iterable[Check]
-) -> list[DataFrame]:
-    lines = []
-    for c in _of_kind(checks, RELATIONSHIP):
-        parents = tables[c.parent].selectExpr(f"{sql_name(c.parent_column)} AS key")
-        orphans = _key_counts(tables[c.table], c.column).join(parents, "key", "left_anti")
-        lines.append(_lines(orphans.selectExpr("sum(n) AS f0"), [c]))
-    return lines
-
-
-def _value_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
-    lines = []
-    for c in _of_kind(checks, VALUES):
-        accepted = ", ".join(sql_text(v) for v in c.values)
-        strange = tables[c.table].filter(f"{sql_name(c.column)} NOT IN ({accepted})")
-        lines.append(_lines(strange.agg(F.count_distinct(sql_name(c.column)).alias("f0")), [c]))
-    return lines
-
-
-def _key_counts(df: DataFrame, column: str) -> DataFrame:
-    keys = df.selectExpr(f"{sql_name(column)} AS key").filter("key IS NOT NULL")
-    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        rows.append(tables[table].selectExpr(f"inline(array({cells}))").filter("key IS NOT NULL"))
+    counts = [F.count_if(F.col("place") == i).alias(f"n{i}") for i in places.values()]
+    keys = stacked(rows).groupBy("key").agg(*counts)
+    return [_lines(keys.selectExpr(*failures), checks)]
+
+
+def _key(column: str, check: Check | None) -> str:
+    """SQL for a column's value as text, or for a value that the check doesn't accept."""
+    text = f"CAST({sql_name(column)} AS string)"
+    if check is None:
+        return text
+    accepted = ", ".join(sql_text(v) for v in check.values)
+    return f"CASE WHEN {sql_name(column)} NOT IN ({accepted}) THEN {text} END"
