@@ -5,15 +5,40 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quaestor.operators.quantiles import exact_quantiles
 from quaestor.operators.skew import known_values, weighted_values, with_group_facts
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+KERNEL_REACH = 39.0
 WHISKER_REACH = 1.5  # fixed value: whiskers reach this many interquartile ranges
 
 
+def bin_edge(low: Column, high: Column, bins: int, index: Column) -> Column:
+    """Lower edge of a bin; the last bin's upper edge is the maximum itself."""
+    return F.when(index == bins, high).otherwise(low + index * ((high - low) / F.lit(float(bins))))
+
+
+def binned(
+    rows: DataFrame, low: Column, high: Column, bins: int, groups: Sequence[str] = ()
+) -> DataFrame:
+    """`groups`, `bin` and the number `n` of values `v` of each bin that has any."""
+    width = (high - low) / F.lit(float(bins))
+    first_guess = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("long")
+    guess = F.col("guess")
+    settled = (
+        F.when(F.col("v") < low + guess * width, guess - 1)
+        .when((guess < bins - 1) & (F.col("v") >= low + (guess + 1) * width), guess + 1)
+        .otherwise(guess)
+    )
+    return (
+        rows.withColumn("guess", first_guess)
+        .groupBy(*groups, settled.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts in `bins` bins of equal width from minimum to maximum, empty bins included.
 
@@ -26,34 +51,15 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     bounds = extent.select(
         F.struct((F.col("low") - spread).alias("low"), (F.col("high") + spread).alias("high"))
     ).scalar()
-    low = bounds.getField("low")
-    width = (bounds.getField("high") - low) / F.lit(float(bins))
-
-    def edge(index):
-        return low + index * width
-
-    first_guess = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("long")
-    guess = F.col("guess")
-    settled = (
-        F.when(F.col("v") < edge(guess), guess - 1)
-        .when((guess < bins - 1) & (F.col("v") >= edge(guess + 1)), guess + 1)
-        .otherwise(guess)
-    )
-    counts = (
-        known.withColumn("guess", first_guess)
-        .groupBy(settled.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    low, high = bounds.getField("low"), bounds.getField("high")
     # Grouped by bin number, so there are at most `bins` rows to broadcast.
     return (
         df.sparkSession.range(bins).withColumnRenamed("id", "bin")
-        .join(F.broadcast(counts), "bin", "left")
+        .join(F.broadcast(binned(known, low, high, bins)), "bin", "left")
         .select(
             "bin",
-            edge(F.col("bin")).alias("bin_start"),
-            F.when(F.col("bin") == bins - 1, bounds.getField("high"))
-            .otherwise(edge(F.col("bin") + 1))
-            .alias("bin_end"),
+            bin_edge(low, high, bins, F.col("bin")).alias("bin_start"),
+            bin_edge(low, high, bins, F.col("bin") + 1).alias("bin_end"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )
@@ -65,23 +71,33 @@ def log_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return histogram(positive.select(F.log10(F.col(value)).alias("v")), "v", bins)
 
 
-def box_summary(df: DataFrame, value: str, group: str) -> DataFrame:
+def box_summary(df: DataFrame, value: str, group: str, few_groups: bool = False) -> DataFrame:
     """Quartiles, whiskers and outliers per group.
 
     A whisker ends at the furthest value within 1.5 interquartile ranges of the box, at the
-    latest on the box itself.
+    latest on the box itself. `few_groups` promises a small vocabulary of groups, such as need
+    areas or life-cycle stages: quartiles are then broadcast, and no value is shuffled but those
+    near a quartile.
     """
-    weighted = weighted_values(df, value, [group])
-    quartiles = exact_quantiles(df, value, QUARTILES, [group], weighted=weighted)
+    if few_groups:
+        rows = known_values(df, value, [group]).withColumn("w", F.lit(1))
+        quartiles = exact_quantiles(df, value, QUARTILES, [group], few_groups=True)
+    else:
+        rows = weighted_values(df, value, [group])
+        quartiles = exact_quantiles(df, value, QUARTILES, [group], weighted=rows)
     q1, q3 = F.col("q1"), F.col("q3")
     boxes = quartiles.withColumns({
         "floor": q1 - WHISKER_REACH * (q3 - q1), "ceiling": q3 + WHISKER_REACH * (q3 - q1)
     })
+    if few_groups:
+        boxed = rows.join(F.broadcast(boxes), group)
+    else:
+        boxed = with_group_facts(rows, boxes, [group], spread_by="v")
     v = F.col("v")
     below, above = v < F.col("floor"), v > F.col("ceiling")
     inside = F.when(~below & ~above, v)
     return (
-        with_group_facts(weighted, boxes, [group], spread_by="v")
+        boxed
         .groupBy(group)
         .agg(
             *[F.first(fact).alias(fact) for fact in ("n", "q1", "median", "q3")],
@@ -131,17 +147,21 @@ def density_curve(
     place = F.col("low") + F.col("point") * step
     distance = (F.col("x") - F.col("v")) / F.col("bandwidth")
     peak = F.col("n") * F.col("bandwidth") * F.lit(math.sqrt(2 * math.pi))
-    return (
+    # Points a value can reach: KERNEL_REACH bandwidths away, a kernel is 0 in double precision.
+    away = KERNEL_REACH * F.col("bandwidth")
+    first = F.greatest(F.floor((F.col("v") - away - F.col("low")) / step), F.lit(0)).cast("int")
+    last = F.least(
+        F.ceil((F.col("v") + away - F.col("low")) / step), F.lit(points - 1)
+    ).cast("int")
+    sums = (
         with_group_facts(weighted, shape, groups, spread_by="v")
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("point", F.explode(F.sequence(first, last)))
         .withColumn("x", place)
         .groupBy(*groups, "point")
-        .agg(
-            F.sum(F.col("w") * F.exp(-0.5 * distance * distance)).alias("kernels"),
-            *[F.first(fact).alias(fact) for fact in ("n", "bandwidth", "x")],
-        )
-        .select(
-            *groups, F.col("point").cast("long").alias("point"), "x",
-            (F.col("kernels") / peak).alias("density"),
-        )
+        .agg(F.sum(F.col("w") * F.exp(-0.5 * distance * distance)).alias("kernels"))
+    )
+    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    return grid.join(sums, [*groups, "point"], "left").select(
+        *groups, F.col("point").cast("long").alias("point"), place.alias("x"),
+        (F.coalesce("kernels", F.lit(0.0)) / peak).alias("density"),
     )

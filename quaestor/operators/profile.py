@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quaestor.functions.expressions import ratio, sql_name, sql_text
 from quaestor.functions.frames import stacked, with_known
+from quaestor.operators.distributions import bin_edge, binned
 from quaestor.operators.quantiles import exact_quantiles
 from quaestor.sources.tables import row_counts
 
@@ -136,10 +137,11 @@ def profile_top_values(tables: Tables, top_n: int = 20) -> DataFrame:
 def profile_categorical(tables: Tables) -> DataFrame:
     """Distinct values of every text column, and the most common one with its share of all rows."""
     counts, columns = _word_counts(tables)
-    words = counts.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("distinct_values"),
-        F.min(F.struct((-F.col("n")).alias("minus_n"), "value")).alias("top"),
-    )
+    sizes = counts.groupBy("cell").agg(F.count(F.lit(1)).alias("distinct_values"))
+    by_count = Window.partitionBy("cell").orderBy(F.desc("n"), "value")
+    first = counts.withColumn("place", F.row_number().over(by_count)).filter("place = 1")
+    # One row per column, so the broadcast is as long as the call's argument.
+    words = sizes.join(F.broadcast(first.drop("place")), "cell")
     rows = row_counts(tables)
     # One row per given table or column, so the broadcasts are as long as the call's argument.
     return (
@@ -149,11 +151,9 @@ def profile_categorical(tables: Tables) -> DataFrame:
             "table_name",
             "column_name",
             "distinct_values",
-            F.col("top.value").alias("most_common"),
-            (-F.col("top.minus_n")).alias("most_common_count"),
-            (F.round(ratio(-F.col("top.minus_n"), F.col("row_count")) * 1000) / 10).alias(
-                "most_common_pct"
-            ),
+            F.col("value").alias("most_common"),
+            F.col("n").alias("most_common_count"),
+            (F.round(ratio(F.col("n"), F.col("row_count")) * 1000) / 10).alias("most_common_pct"),
         )
     )
 
@@ -183,12 +183,30 @@ def profile_dates(tables: Tables) -> DataFrame:
     return _stacked(tables, profile)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows, NULL equal to NULL, with all rows."""
-    copies = df.groupBy(*[sql_name(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies_"))
-    return copies.agg(
-        F.coalesce(F.sum("copies_"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("copies_") - 1), F.lit(0)).alias("duplicate_rows"),
+def row_hashes(df: DataFrame) -> list[Column]:
+    """128 bits that equal rows share, as two columns."""
+    columns = [F.col(sql_name(c)) for c in df.columns]
+    return [F.xxhash64(*columns).alias("hash_1_"), F.xxhash64(F.lit(1), *columns).alias("hash_2_")]
+
+
+def duplicate_rows(
+    df: DataFrame, hashes: Callable[[DataFrame], list[Column]] = row_hashes
+) -> DataFrame:
+    """Rows beyond the first of each set of equal rows, NULL equal to NULL, with all rows.
+
+    Hashes are counted first; whole rows leave their task only if their hash occurs twice, and
+    are then compared as they are. `hashes` must give equal rows equal hashes.
+    """
+    keys = ["hash_1_", "hash_2_"]
+    counts = df.select(*hashes(df)).groupBy(*keys).agg(F.count(F.lit(1)).alias("copies_"))
+    repeated = counts.filter(F.col("copies_") > 1).select(*keys)
+    whole = df.select("*", *hashes(df)).join(repeated, keys, "left_semi").drop(*keys)
+    copies = whole.groupBy(*[sql_name(c) for c in df.columns]).agg(
+        F.count(F.lit(1)).alias("copies_")
+    )
+    beyond = copies.agg(F.coalesce(F.sum(F.col("copies_") - 1), F.lit(0)).alias("n"))
+    return counts.agg(F.coalesce(F.sum("copies_"), F.lit(0)).alias("rows")).select(
+        "rows", beyond.scalar().alias("duplicate_rows")
     )
 
 
@@ -212,3 +230,54 @@ def profile_overview(tables: Tables) -> DataFrame:
             "duplicate_rows",
         ),
     )
+
+
+def profile_histograms(tables: Tables, bins: int = 30) -> DataFrame:
+    """Histogram of every numeric column: one pass over a table for the bounds, one for the counts.
+
+    Bins as in `distributions.histogram`. Columns without a finite value have no lines.
+    """
+
+    def profile(name: str, df: DataFrame) -> DataFrame:
+        columns = _columns_of(df, T.NumericType)
+        if not columns:
+            return _empty(
+                df, "table_name string, column_name string, bin bigint, bin_start double,"
+                " bin_end double, n bigint",
+            )
+        values = [F.col(sql_name(c)).cast("double") for c in columns]
+        finite = [F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v) for v in values]
+        ends = df.agg(*[
+            f(v).alias(f"{f.__name__}_{i}") for i, v in enumerate(finite) for f in (F.min, F.max)
+        ])
+        low, high = (
+            F.array(*[
+                F.col(f"{f}_{i}") + side * F.when(F.col(f"min_{i}") == F.col(f"max_{i}"), 0.5).otherwise(0.0)
+                for i in range(len(columns))
+            ])
+            for f, side in (("min", -1), ("max", 1))
+        )
+        bounds = ends.select(F.struct(low.alias("low"), high.alias("high"))).scalar()
+        cells = df.select(F.posexplode(F.array(*finite)).alias("cell", "v")).filter("v IS NOT NULL")
+        counts = binned(
+            cells, F.get(bounds.getField("low"), F.col("cell")),
+            F.get(bounds.getField("high"), F.col("cell")), bins, ["cell"],
+        )
+        names = F.array(*[F.lit(c) for c in columns])
+        grid = df.sparkSession.range(len(columns) * bins).select(
+            F.floor(F.col("id") / bins).cast("int").alias("cell"), (F.col("id") % bins).alias("bin")
+        )
+        low, high = (F.get(bounds.getField(x), F.col("cell")) for x in ("low", "high"))
+        # At most one row per column and bin to broadcast.
+        return (
+            grid.join(F.broadcast(counts), ["cell", "bin"], "left")
+            .select(
+                F.lit(name).alias("table_name"), F.get(names, F.col("cell")).alias("column_name"), "bin",
+                bin_edge(low, high, bins, F.col("bin")).alias("bin_start"),
+                bin_edge(low, high, bins, F.col("bin") + 1).alias("bin_end"),
+                F.coalesce("n", F.lit(0)).alias("n"),
+            )
+            .filter("bin_start IS NOT NULL")
+        )
+
+    return _stacked(tables, profile)

@@ -31,10 +31,9 @@ def value_counts(df: DataFrame, column: str, top_n: int | None = None) -> DataFr
     return ranked if top_n is None else ranked.limit(top_n)
 
 
-def share_of_total(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
-    """Known values with their count (or summed weight) and their share of all in percent."""
-    size = _n() if weight is None else F.sum(weight)
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(size.alias("n"))
+def share_of_total(df: DataFrame, column: str) -> DataFrame:
+    """Known values with their count and their share of all in percent."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(_n().alias("n"))
     everything = counts.agg(F.sum("n").alias("n")).scalar()
     return counts.withColumn("pct", ratio(F.col("n"), everything) * 100)
 

@@ -48,11 +48,13 @@ def report(
             "premium_by_need_area": analyses.premium_by(policies, "need_area", ascending=True),
             "premium_by_product": analyses.premium_by(policies, "product", top_n=10),
             "box_premium_by_area": distributions.box_summary(
-                policies, "annual_premium", "need_area"
+                policies, "annual_premium", "need_area", few_groups=True
             ),
             "customer_value_metrics": value,
             "kpi_value": kpis.kpi_value(value),
-            "box_clv_by_cluster": distributions.box_summary(value, "clv", "cluster"),
+            "box_clv_by_cluster": distributions.box_summary(
+                value, "clv", "cluster", few_groups=True
+            ),
             "hist_clv": distributions.histogram(value, "clv", 50),
             "kpi_geography": kpis.kpi_geography(geography),
             "geo_sample": sample_rows(geography, MAP_POINTS),
@@ -63,7 +65,7 @@ def report(
             "kpi_lifecycle": kpis.kpi_lifecycle(customers),
             "hist_tenure": distributions.histogram(customers, "tenure_years", 20),
             "box_churn_by_stage": distributions.box_summary(
-                lifecycle, "churn_probability", "lifecycle_stage"
+                lifecycle, "churn_probability", "lifecycle_stage", few_groups=True
             ),
             "engagement_by_tenure": with_known(lifecycle, "engagement_score"),
             "kpi_channels": kpis.kpi_channels(channels, interactions),
