@@ -5,9 +5,10 @@ texts. A text is brought to letters and single spaces and compressed whole, in p
 long part the text's own beginning would stand in for the dictionary. Where the second language
 comes close, the text is rejected.
 
-The fit takes the SAMPLE_ROWS rows of smallest hash per language and at most PIECE_CHARS of each;
-the ranks pass a partial limit first, so no language's rows meet in one task. The dictionaries,
-DICTIONARY_BYTES for each language, are sent to all tasks.
+The fit takes at most SAMPLE_ROWS different texts per language, those of smallest hash in a share of
+all hashes that DRAWN times as many rows have, and PIECE_CHARS of each. Rows outside the share leave
+no task, so a language that most rows have doesn't meet in one. The dictionaries, DICTIONARY_BYTES
+for each language, are sent to all tasks.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from quaestor.llm.common import map_arrow
+from quaestor.llm.common import map_arrow, small, written
 
 SAMPLE_ROWS = 400
+DRAWN = 8
 PIECE_CHARS = 512
 DICTIONARY_BYTES = 131_072
 PART_BYTES = 4_096
@@ -80,14 +82,19 @@ def fit(labelled: DataFrame) -> LanguageModel:
 
     Equal rows count once, so copies don't fill a dictionary. No rows give a model of no language.
     """
-    order = F.xxhash64("text")
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Few tasks' worth of rows come into question: those in a share of all hashes.
+    share = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 20)) / float(1 << 20)
+    drawn = known.select("lang", "text", share.alias("share")).join(small(written(sizes)), "lang")
+    pieces = drawn.filter(F.col("share") * F.col("n") <= DRAWN * SAMPLE_ROWS).select(
+        "lang", F.xxhash64("text").alias("hash"), F.left("text", F.lit(PIECE_CHARS)).alias("piece")
+    )
+    order = Window.partitionBy("lang").orderBy("hash", "piece")
     rows = (
-        labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("lang", order.alias("hash"), F.left("text", F.lit(PIECE_CHARS)).alias("piece"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "piece")))
+        pieces.distinct().withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= SAMPLE_ROWS)
-        .select("lang", "hash", "piece")
-        .distinct()
+        .drop("rank")
         .toPandas()
         .sort_values(["lang", "hash", "piece"])
     )
