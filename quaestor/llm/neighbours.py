@@ -262,11 +262,12 @@ def search(
                 for i in range(start, end):
                     own = wanted[i].values.to_numpy()
                     open_[i - start, own[own < n_leaves]] = True
-                scores = points[start:end] @ vectors.T
-                a, b = np.nonzero(open_[:, leaf] & (scores >= bounds[start:end, None]))
+                products = points[start:end] @ vectors.T
+                a, b = np.nonzero(open_[:, leaf] & (products >= bounds[start:end, None]))
                 out["q"].append(keys[start:end][a])
                 out["c"].append(names[b])
-                out["score"].append(scores[a, b])
+                # summed pair by pair: a product of matrices may differ in the last bit by its shape
+                out["score"].append(np.einsum("ij,ij->i", points[start:end][a], vectors[b]))
         kinds = ("i8", "i8", "f8")
         return pa.table({n: np.concatenate([*v, np.empty(0, t)]).astype(t) for (n, v), t in zip(out.items(), kinds, strict=True)})
 

@@ -1,0 +1,110 @@
+"""The pipeline stage by stage against plain versions, and every query against its SQL."""
+
+import pytest
+from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
+
+import compare
+import corpus_pipeline
+import plain
+from conftest import TESTDATA
+from quaestor.llm import oracles, quality, queries
+
+FOLDER = str(TESTDATA / "sf0.001")
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """Rows before and after each stage."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = {"documents": docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, FOLDER).collect()
+        out[name] = rows
+        if rows:
+            docs = spark.createDataFrame([r.asDict() for r in rows], stage_schema(rows[0], docs))
+    return out
+
+
+def stage_schema(row, docs):
+    return docs.schema if set(row.asDict()) == set(docs.columns) else "doc_id long, text string, lang string, source string, n_chars long, token_ids array<int>, n_tokens long, round_trip boolean"
+
+
+def test_stages_are_the_ones_asked_for():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "ngram_jaccard", "decontamination", "sentencepiece"]
+
+
+def test_rejected_documents_go(spark, steps):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").filter(queries.remainder(5) != 0)
+    model = quality.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels)
+    rows = steps["documents"]
+    scores = model.scores([r.text for r in rows], quality.Terms(model.terms or {}))
+    kept = {r.doc_id for r, s in zip(rows, scores) if s >= quality.THRESHOLD}
+    assert {r.doc_id for r in steps["quality"]} == kept and all(r in rows for r in steps["quality"])
+
+
+def test_repeated_windows_go(steps):
+    expected = plain.dedup_lines([(r.doc_id, r.text) for r in steps["quality"]])
+    assert {r.doc_id: r.text for r in steps["line_dedup"]} == {d: t for d, (t, _, _) in expected.items()}
+    assert all(r.n_chars == len(r.text) for r in steps["line_dedup"])
+
+
+def test_one_document_of_each_group_stays(steps):
+    groups = plain.near_duplicates([(r.doc_id, r.text) for r in steps["line_dedup"]])
+    assert {r.doc_id for r in steps["ngram_jaccard"]} == {d for d, (_, c) in groups.items() if c == d}
+
+
+def test_contaminated_documents_go(spark, steps):
+    items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
+    dirty = {d for d, _ in plain.leaks([(r.doc_id, r.text) for r in steps["ngram_jaccard"]], items)}
+    assert {r.doc_id for r in steps["decontamination"]} == {r.doc_id for r in steps["ngram_jaccard"]} - dirty
+
+
+def test_what_is_left_is_encoded(steps):
+    library = SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    assert len(steps["sentencepiece"]) == len(steps["decontamination"])
+    for r in steps["sentencepiece"]:
+        assert r.token_ids == library.encode(r.text) and r.n_tokens == len(r.token_ids) and r.round_trip
+
+
+def test_run_is_all_stages(spark, steps):
+    assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()} == {r.doc_id for r in steps["sentencepiece"]}
+
+
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    con = compare.connect(FOLDER)
+    query = queries.queries()[name]
+    assert compare.differences(query(spark, FOLDER), con, oracles.oracle_sql()[name]) is None
+
+
+def test_every_operator_has_one_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_personal_data_query_as_the_plain_patterns(spark):
+    import hashlib
+
+    rows = {r.doc_id: r for r in queries.op10_sanitisation(spark, FOLDER).collect()}
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
+        spans = ",".join(f"{k}:{s}:{e}" for k, s, e in plain.base_spans(r.text))
+        assert rows[r.doc_id].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+        assert rows[r.doc_id].spans.startswith(spans)
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op4_licences", "op5_decontamination", "op10_sanitisation"])
+def test_native_queries_run_no_python(spark, name):
+    plan = queries.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "InArrow", "CartesianProduct"))
+
+
+def test_long_and_odd_documents_pass_every_stage(spark):
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "x " * 40_000, "en", "s", 80_000), (2, "x " * 40_000, "en", "s", 80_000), (3, "\n" * 500, "en", "s", 500)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, FOLDER).select(*corpus_pipeline.COLUMNS)
+    assert docs.filter(F.col("doc_id") == 1).count() == 1
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, FOLDER).count() == 0
