@@ -28,21 +28,38 @@ FROM d LEFT JOIN kept k USING (doc_id)
 """
 
 _SHINGLES = r"""
-  SELECT id, list_distinct(CASE
-    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-    WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s
-  FROM (SELECT id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {t})
+  SELECT DISTINCT id, concat_ws(' ', w, w1, w2, w3, w4) AS h FROM (
+    SELECT id, i, w, len(ws) AS n, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3,
+      lead(w, 4) OVER o AS w4
+    FROM (
+      SELECT id, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+      FROM (SELECT id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS ws FROM {table})
+    ) WINDOW o AS (PARTITION BY id ORDER BY i)
+  ) WHERE i <= greatest(n - 4, 1)
 """
 
 DECONTAMINATION = f"""
-WITH i AS ({_SHINGLES.format(t="(SELECT item_id AS id, text FROM benchmark)")}),
-d AS ({_SHINGLES.format(t="(SELECT doc_id AS id, text FROM documents)")}),
-ih AS (SELECT id AS item_id, len(s) AS size, unnest(s) AS h FROM i),
-dh AS (SELECT id AS doc_id, unnest(s) AS h FROM d)
-SELECT doc_id, item_id, count(*) AS matched, count(*) / size AS containment
-FROM dh JOIN ih USING (h) GROUP BY doc_id, item_id, size HAVING 10 * count(*) >= 8 * size
+WITH ih AS (SELECT *, count(*) OVER (PARTITION BY id) AS size FROM ({_SHINGLES.format(
+    lower="lower(text)", table="(SELECT item_id AS id, text FROM benchmark)")})),
+dh AS ({_SHINGLES.format(lower="lower(text)", table="(SELECT doc_id AS id, text FROM documents)")})
+SELECT dh.id AS doc_id, ih.id AS item_id, count(*) AS matched, count(*) / size AS containment
+FROM dh JOIN ih USING (h) GROUP BY dh.id, ih.id, size HAVING 10 * count(*) >= 8 * size
 """
 
+NGRAM_JACCARD = f"""
+WITH RECURSIVE e AS (
+  SELECT *, count(*) OVER (PARTITION BY id) AS n FROM ({_SHINGLES.format(
+    lower="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')",
+    table="(SELECT doc_id AS id, text FROM documents)")})
+), l AS (
+  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.h = b.h AND a.id <> b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a
+)
+SELECT doc_id, (SELECT count(*) FROM e WHERE e.id = doc_id) AS n_shingles, min(c) AS component_id
+FROM r GROUP BY doc_id
+"""
 
 WARC = """
 WITH p AS (
@@ -88,6 +105,7 @@ FROM m WHERE dice >= 0.8 - 1e-9 GROUP BY doc_id, licence
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": LINE_DEDUP,
+        "op3_ngram_jaccard": NGRAM_JACCARD,
         "op4_licences": LICENCES,
         "op5_decontamination": DECONTAMINATION,
         "op8_warc": WARC,
