@@ -31,9 +31,9 @@ from quaestor.llm.common import map_arrow
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHED_CHARS = 8_000_000
-BATCH_CHARS = 2_000_000
-KNOWN_PAIRS = 500_000
+CACHED_CHARS = 2_500_000
+BATCH_CHARS = 1_000_000
+KNOWN_PAIRS = 200_000
 UNKNOWN_TEXT = " ⁇ "
 
 
