@@ -10,22 +10,24 @@ in one choice of n2 - k2 cells of a part, is shared by every two sets that link.
 A choice that is empty in a set would be shared by unrelated sets. A set with at most `spare` parts
 where that can happen leaves its empty signatures out: one of its good parts is none of them.
 
-A bucket holds the sets of one signature. Its members are compared with its smallest one first, by
-parity sketches, which bound the difference from below, and then exactly. Buckets that are one
-component by then are done, so a group of near copies costs one comparison a member. Members of
-different components are then paired where a bucket has few such pairs for its size; buckets with
-many are signed anew within themselves, by another partition of the domain, so that documents which
-only share a passage fall apart.
+A bucket holds the sets of one signature. Its members are compared with a pivot first, by parity
+sketches, which bound the difference from below, and then exactly. Buckets that are one component by
+then are done, so a group of near copies costs few comparisons a member. For texts in
+crowded buckets that are left, the elements that none of the others has are counted: they differ in
+every pair. A text with more than a fifth of them links with no other there, so documents that only
+share a passage drop out one by one; other pairs must fit by both counts. The rest is compared as
+before. Small buckets are paired as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -33,13 +35,13 @@ from quaestor.llm.common import map_arrow, small, text_key, text_of, written
 from quaestor.llm.components import components
 
 WIDTH = 5
-#: A bucket pairs its members' components as long as that makes at most so many pairs a member.
-PARTNERS = 24
-#: Buckets are signed anew so often at most; then all pairs between components are compared.
-LEVELS = 3
+#: Rounds of comparing with pivots, and pivots of a group of copies in each.
+TURNS, PIVOTS = 2, 8
+#: Own elements are counted for the texts of buckets with more members than this.
+CROWD = 12
 #: Sampled texts, and how many of them must share a signature for its rows to be salted.
 SAMPLE_ROWS, HOT_ROWS, SALTS = 4_000, 80, 64
-CACHED_WORDS = 400_000
+PART_BYTES = 2_000_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -53,30 +55,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Hash of every word, kept within bounds."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHED_WORDS and len(word) < 100:
-            self[word] = h
-        return h
-
-
-_HASHES = WordHashes()
-
-
-def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the runs of words; fewer words are one run, none are no run."""
-    words = text.encode(errors="surrogatepass").translate(UPPER).split()
-    if not words:
-        return np.empty(0, "u8")
-    h = np.fromiter(map(_HASHES.__getitem__, words), "u8", len(words))
-    span = min(width, len(h))
-    x = h[: len(h) - span + 1].copy()
-    for i in range(1, span):
-        x = x * MIX + h[i : len(h) - span + 1 + i]
-    return np.unique(mix(x + np.uint64(span)))
+def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's runs of words; fewer words are one run, none no run."""
+    words = [t.encode(errors="surrogatepass").translate(UPPER).split() for t in texts]
+    flat = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, flat.dictionary.to_pylist()), "u8", len(flat.dictionary))
+    h = known[flat.indices.to_numpy()]
+    runs = h[: max(len(h) - width + 1, 0)].copy()
+    for i in range(1, width):
+        runs = runs * MIX + h[i : len(runs) + i]
+    runs = mix(runs + np.uint64(width))
+    out, start = [], 0
+    for own in words:
+        n = len(own)
+        if n >= width:
+            out.append(np.unique(runs[start : start + n - width + 1]))
+        else:
+            x = np.zeros(min(n, 1), "u8")
+            for i in range(n):
+                x = x * MIX + h[start + i]
+            out.append(mix(x + np.uint64(n)))
+        start += n
+    return out
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in parts of about PART_BYTES, a row at least, with that column as text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype("i8"))
+        start = 0
+        while start < batch.num_rows:
+            done = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, done + PART_BYTES, side="right")))
+            part = batch.slice(start, end - start)
+            yield part, part.column(column).to_pylist()
+            start = end
 
 
 @cache
@@ -107,14 +120,17 @@ def signatures(hashes: np.ndarray, seed: int = 0) -> np.ndarray:
     if not len(hashes):
         return np.empty(0, "u8")
     band, high, next_high = band_of(len(hashes))
+    value = hashes * STEP
+    value = (value ^ (value >> np.uint64(32))) * MIX
     out = []
     for instance, largest in ((band, high), (band + 1, next_high)):
         n1, n2, k2, spare = parts_for(2 * largest // 9)
         salt = mix(np.array([instance * 1_000_003 + seed + 1], "u8"))
-        x = mix(hashes ^ salt)
+        # hashes are even already; an odd factor deals them anew for each instance
+        x = hashes * (salt | np.uint64(1))
         cell = ((x >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype("i8")
         sums = np.zeros(n1 * n2, "u8")
-        np.add.at(sums, cell, mix(x + STEP))
+        np.add.at(sums, cell, value)
         filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) > 0
         sums = sums.reshape(n1, n2)
         keep_empty = (filled.sum(1) <= k2).sum() > spare
@@ -167,23 +183,18 @@ def signed(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """sig, k, n, sketch: a row of each signature, and one of each text with n and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, keys, sizes, sketches, rows = [], [], [], [], 0
-            columns = zip(batch.column("k").to_pylist(), batch.column("text"), strict=True)
-            for place, (k, text) in enumerate(columns, 1):
-                hashes = shingle_set(text.as_py(), width)
-                own = signatures(hashes)
-                sigs += [own.view("i8"), np.array([k], "i8")]
-                keys.append(np.full(len(own) + 1, k, "i8"))
-                sizes += [None] * len(own) + [len(hashes)]
-                sketches += [None] * len(own) + [parity_sketch(hashes)]
-                rows += len(own) + 1
-                if rows >= 100_000 or place == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())],
-                        names=["sig", "k", "n", "sketch"],
-                    )
-                    sigs, keys, sizes, sketches, rows = [], [], [], [], 0
+        for part, found in in_parts(batches):
+            keys = part.column("k").to_numpy()
+            sets = shingle_sets(found, width)
+            sigs = [signatures(x).view("i8") for x in sets]
+            counts = np.array([len(x) for x in sigs])
+            none = pa.nulls(int(counts.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*sigs, keys])), pa.array(np.concatenate([np.repeat(keys, counts), keys])),
+                 pa.concat_arrays([none.cast(pa.int32()), pa.array([len(x) for x in sets], pa.int32())]),
+                 pa.concat_arrays([none.cast(pa.binary()), pa.array([parity_sketch(x) for x in sets], pa.binary())])],
+                names=["sig", "k", "n", "sketch"],
+            )
 
     return map_arrow(texts, run, "sig long, k long, n int, sketch binary")
 
@@ -224,11 +235,26 @@ def linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            sets = [shingle_set(t.as_py(), width).tobytes() for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sets, pa.binary())], names=["k", "hashes"])
+    for part, found in in_parts(batches):
+        sets = [x.tobytes() for x in shingle_sets(found, width)]
+        yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sets, pa.binary())], names=["k", "hashes"])
+
+
+def element_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A row for each element of a set."""
+    for part, found in in_parts(batches):
+        rows = shingle_sets(found, width)
+        keys = np.repeat(part.column("k").to_numpy(), [len(x) for x in rows])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys), pa.array(np.concatenate(rows).view("i8"))], names=["k", "h"]
+        )
+
+
+def own_elements(texts: DataFrame, width: int) -> DataFrame:
+    """k, u: how many elements of a set none of the other texts' sets has."""
+    rows = map_arrow(texts, lambda batches: element_rows(batches, width), "k long, h long")
+    alone = rows.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("other")).filter("k = other")
+    return alone.groupBy("k").agg(F.count(F.lit(1)).alias("u"))
 
 
 def both_sides(pairs: DataFrame, values: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -252,65 +278,66 @@ def compare(pairs: DataFrame, info: DataFrame, texts: DataFrame, width: int = WI
     return written(map_arrow(full, linked_pairs, "a long, b long"))
 
 
+def stars(buckets: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot and its other members. Pivots are drawn by hash, PIVOTS
+    ways, so that the buckets of one group of copies have several, but not each its own."""
+    drawn = F.xxhash64(F.lit(turn), "k", F.pmod("sig", F.lit(PIVOTS)))
+    pivots = (
+        buckets.groupBy("sig")
+        .agg(F.min_by("k", drawn).alias("pivot"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+        .filter("lo <> hi").select("sig", "pivot")
+    )
+    rows = buckets.join(pivots, "sig").filter("k <> pivot")
+    return rows.select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b"))
+
+
 def links(keyed: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """info (k, n) of all texts, and links (a, b) that connect every two texts that link."""
     texts = one_of_each(keyed)
     rows = written(shared(signed(texts, width), hot_signatures(texts, width)))
     info = rows.filter("n IS NOT NULL").select("k", "n", "sketch").dropDuplicates(["k"])
     buckets = rows.filter("n IS NULL").select("sig", "k").distinct()
-    found = None
-    for level in range(LEVELS + 1):
-        pivots = buckets.groupBy("sig").agg(F.min("k").alias("a"), F.max("k").alias("most")).filter("a < most")
-        stars = buckets.join(pivots, "sig").filter("k <> a").select("a", F.col("k").alias("b"))
-        new = compare(stars, info, texts, width)
+    found, crowd = None, buckets
+    for turn in range(TURNS):
+        new = compare(stars(crowd, turn), info, texts, width)
         found = new if found is None else found.union(new)
-        groups = components(found)
-        members = written(
-            buckets.join(groups.withColumnRenamed("node", "k"), "k", "left")
-            .select("sig", "k", F.coalesce("root", "k").alias("root"))
-        )
-        size = F.col("size").cast("double")
-        mixed = (
-            members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"))
-            .groupBy("sig").agg(
-                F.sum("size").alias("m"), F.max_by("root", "size").alias("main"),
-                ((F.pow(F.sum(size), F.lit(2.0)) - F.sum(size * size)) / 2).alias("pairs"),
-            )
-            .filter("pairs > 0")
-        )
-        light = F.lit(level == LEVELS) | (F.col("pairs") <= PARTNERS * F.col("m"))
-        mixed = written(mixed.select("sig", "main", light.alias("light")))
-        # every pair of two components has one text that is not in the bucket's main component
-        few = members.join(mixed.filter("light"), "sig")
-        left = few.filter("root <> main").select("sig", F.col("k").alias("x"), F.col("root").alias("root_x"))
-        right = few.select("sig", F.col("k").alias("y"), F.col("root").alias("root_y"))
-        across = left.join(right, "sig").filter("root_x <> root_y")
-        pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found = found.union(compare(pairs, info, texts, width))
-        heavy = mixed.filter("NOT light").select("sig")
-        if heavy.isEmpty():
-            break
-        crowded = members.join(heavy, "sig").select("sig", "k")
-        wanted = written(crowded.select("k").distinct())
-        again = signed_again(texts.join(small(wanted), "k", "left_semi"), level + 1, width).distinct()
-        buckets = written(
-            crowded.join(again, "k").select(F.xxhash64("sig", "fine").alias("sig"), "k").distinct()
-        )
-    return info.select("k", "n"), found
-
-
-def signed_again(texts: DataFrame, seed: int, width: int) -> DataFrame:
-    """k, fine: signatures by another partition of the domain."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, text in zip(batch.column("k").to_pylist(), batch.column("text"), strict=True):
-                own = signatures(shingle_set(text.as_py(), width), seed)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), k, "i8")), pa.array(own.view("i8"))], names=["k", "fine"]
-                )
-
-    return map_arrow(texts, run, "k long, fine long")
+        groups = small(written(components(found).withColumnRenamed("node", "k")))
+        members = crowd.join(groups, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root"))
+        unlike = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        members = written(members.join(unlike.filter("lo <> hi").select("sig"), "sig", "left_semi"))
+        crowd = members.select("sig", "k")
+    members = members.join(members.groupBy("sig").agg((F.count(F.lit(1)) > CROWD).alias("crowd")), "sig")
+    open_texts = small(written(members.filter("crowd").select("k").distinct()))
+    own = own_elements(texts.join(open_texts, "k", "left_semi"), width)
+    facts = small(written(
+        open_texts.join(info.select("k", "n"), "k").join(own, "k", "left")
+        .select("k", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    ))
+    # Counted against texts in crowded buckets, own elements rule out pairs there only. With more
+    # than a fifth of such elements, a text links with none of them.
+    few = members.filter("NOT crowd").select("sig", "k", "root", F.lit(0).alias("n"), F.lit(0).cast("long").alias("u"))
+    many = members.filter("crowd").join(facts, "k").filter("5 * u <= n").select("sig", "k", "root", "n", "u")
+    members = written(few.union(many))
+    main = (
+        members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("sig").agg(F.max_by("root", "size").alias("main"), F.count(F.lit(1)).alias("roots"))
+        .filter("roots > 1").select("sig", "main")
+    )
+    # every pair of two components has one text that is not in the bucket's main component
+    placed = written(members.join(main, "sig"))
+    left = placed.filter("root <> main").select(
+        "sig", F.col("k").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("u").alias("u_x")
+    )
+    right = placed.select(
+        F.col("sig").alias("sig_y"), F.col("k").alias("y"), F.col("root").alias("root_y"),
+        F.col("n").alias("n_y"), F.col("u").alias("u_y"),
+    )
+    # own elements differ for sure, and so does what one set has more of the others
+    differ = F.col("u_x") + F.col("u_y") + F.abs(F.col("n_x") - F.col("u_x") - F.col("n_y") + F.col("u_y"))
+    may = (F.col("root_x") != F.col("root_y")) & (9 * differ <= F.col("n_x") + F.col("n_y"))
+    across = left.join(right, (F.col("sig") == F.col("sig_y")) & may)
+    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return info.select("k", "n"), found.union(compare(pairs, info, texts, width))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
