@@ -37,10 +37,10 @@ def test_components_as_all_pairs(spark):
     assert len({c for _, c in expected.values()}) < len(docs) - 40
 
 
-def test_crowded_buckets_are_signed_anew(spark, monkeypatch):
-    monkeypatch.setattr(partenum, "PARTNERS", 0)
-    monkeypatch.setattr(partenum, "LEVELS", 1)
-    docs = corpus(4, 90, 60)
+def test_own_elements_rule_out_no_link(spark, monkeypatch):
+    """All buckets count as crowded."""
+    monkeypatch.setattr(partenum, "CROWD", 1)
+    docs = corpus(4, 160, 60)
     assert run(spark, docs) == plain.near_duplicates(docs)
 
 
