@@ -224,7 +224,9 @@ def captures_of(pages: DataFrame, folder: str | None = None) -> DataFrame:
     responses = named.filter("response.record_type = 'response'").select(
         F.col("record_id").alias("response_id"), F.col("page_id").alias("referred")
     ).dropDuplicates(["response_id"])
-    joined = named.join(responses, F.col("response.refers_to") == F.col("response_id"), "left")
+    # what refers to nothing has a key of its own, or all of it would meet in one task
+    refers = F.coalesce("response.refers_to", F.concat(F.lit("-"), F.col("record_id")))
+    joined = named.join(responses, refers == F.col("response_id"), "left")
     return joined.select(
         "page_id", "response.record_type", "response.payload_digest", "response.payload_bytes",
         F.col("referred").alias("refers_to"), "response.payload", "response.intact",
