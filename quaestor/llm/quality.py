@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from quaestor.llm.common import map_arrow
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 5_000
 SAMPLE_CHARS = 50_000
 TERMS = 20_000
 LEAST_COUNT = 5
@@ -131,22 +131,28 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Terms and vectors learned from the neighbours of each word."""
-    tokens = [TOKEN.findall(t) for t in texts]
-    counted = Counter(chain.from_iterable(tokens))
+    counted: Counter[str] = Counter()
+    for text in texts:
+        counted.update(TOKEN.findall(text))
     common = sorted((t for t, n in counted.items() if n >= LEAST_COUNT), key=lambda t: (-counted[t], t))
+    counted.clear()
     names = [*SHAPES, *common[:TERMS]]
     terms = Terms({t: i for i, t in enumerate(names)})
     places, signs = index_vectors(names)
     # neighbours don't reach over the gaps between documents
     gap = [-1] * REACH
-    rows = np.fromiter(chain.from_iterable(chain(map(terms.__getitem__, t), gap) for t in tokens), "i8")
     sums = np.zeros(len(names) * DIMENSIONS)
-    for step in range(1, REACH + 1):
-        for a, b in ((rows[:-step], rows[step:]), (rows[step:], rows[:-step])):
-            both = (a >= 0) & (b >= 0)
-            a, b = a[both], b[both]
-            for k in range(NONZERO):
-                sums += np.bincount(a * DIMENSIONS + places[b, k], signs[b, k], len(sums))
+    for start in range(0, len(texts), 200):  # a part of the tokens in memory at once
+        part = texts[start : start + 200]
+        rows = np.fromiter(
+            chain.from_iterable(chain(map(terms.__getitem__, TOKEN.findall(t)), gap) for t in part), "i8"
+        )
+        for step in range(1, REACH + 1):
+            for a, b in ((rows[:-step], rows[step:]), (rows[step:], rows[:-step])):
+                both = (a >= 0) & (b >= 0)
+                a, b = a[both], b[both]
+                for k in range(NONZERO):
+                    sums += np.bincount(a * DIMENSIONS + places[b, k], signs[b, k], len(sums))
     own = np.zeros((len(names), DIMENSIONS))
     np.put_along_axis(own, places, signs, axis=1)
     learned = unit(unit(sums.reshape(own.shape)) + 0.5 * unit(own))
