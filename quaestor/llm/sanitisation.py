@@ -1,12 +1,12 @@
 """PII by information-theoretic sanitisation.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers of the texts. How
-strongly a term near an entity reveals it is estimated from the whole corpus: with N documents, n_c
-that hold the entity, n_t that hold the term and n_ct where it stands near the entity, the pointwise
-mutual information log(N n_ct / (n_c n_t)) over the entity's information log(N / n_c) is the share
-that is disclosed, 1 if the term never occurs without the entity. Terms from GENERALISE on are
-replaced by their form, from REMOVE on they are removed. Terms need SUPPORT documents with the
-entity, as one occurrence estimates nothing.
+strongly a term reveals an entity is estimated from the whole corpus: with N documents, n_c that hold
+the entity, n_t that hold the term and n_ct that hold both, the term outside of personal data, the
+pointwise mutual information log(N n_ct / (n_c n_t)) over the entity's information log(N / n_c) is the
+share that is disclosed, 1 if the term never occurs without the entity. Terms from GENERALISE on are
+replaced by their form, from REMOVE on they are removed, wherever in the corpus they stand. Terms need
+SUPPORT documents with the entity, as one occurrence estimates nothing.
 
 All positions come from the lengths of matches and of the gaps between them. Patterns start only
 where a match can and never step back, so long runs cost no more than their length.
@@ -30,9 +30,7 @@ KINDS = (*PATTERNS, "term")
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
-NOT_TERM = r"[^\p{L}\p{N}]+"
 
-CONTEXT_CHARS = 96
 SUPPORT = 3
 GENERALISE = 0.75
 REMOVE = 0.95
@@ -135,54 +133,95 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(place, kind) for place, kind in enumerate(PATTERNS)])
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_key, kind, start, end, entity, and terms near it with their places; a row a span."""
+def entity_of(span: Column) -> Column:
+    """The entity that a base span names: its kind and value, however it is written."""
+    value = span["value"]
+    plain = F.when(span["kind"] == 0, F.lower(value)).when(span["kind"] == 1, value).otherwise(digits(value))
+    return F.concat_ws(":", span["kind"], plain)
 
-    def terms(part: Column, offset: Column) -> Column:
-        return F.transform(
-            matches(part, TERM),
-            lambda m: F.struct(
-                F.lower(m["value"]).alias("term"), (m["start"] + offset).alias("start"), (m["end"] + offset).alias("end")
-            ),
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of base spans, so that all else keeps its position."""
+
+    def step(done: Column, s: Column) -> Column:
+        start, end = F.greatest(s["start"], done["end"]), F.greatest(s["end"], done["end"])
+        gap = F.substr(text, (done["end"] + 1).cast("int"), (start - done["end"]).cast("int"))
+        return F.struct(
+            end.alias("end"),
+            F.concat(done["out"], F.array(gap, F.repeat(F.lit(" "), (end - start).cast("int")))).alias("out"),
         )
 
-    keyed = docs.select("doc_id", text_key(text_of()).alias("doc_key"), text_of().alias("whole"))
-    spans = keyed.select("*", F.explode_outer(base_spans(F.col("whole"))).alias("s")).filter(F.col("s").isNotNull())
-    begin = F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0))
-    before = F.substr(F.col("whole"), (begin + 1).cast("int"), (F.col("s.start") - begin).cast("int"))
-    after = F.substr(F.col("whole"), (F.col("s.end") + 1).cast("int"), F.lit(CONTEXT_CHARS))
-    # a word that the window cuts isn't a term
-    uncut = F.when(begin > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-    skipped = F.length(before) - F.length(uncut)
-    rest = F.when(
-        F.length(after) >= CONTEXT_CHARS, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")
-    ).otherwise(after)
-    value = F.col("s.value")
-    entity = F.when(F.col("s.kind") == 0, F.lower(value)).when(F.col("s.kind") == 1, value).otherwise(digits(value))
-    return spans.select(
-        "doc_id", "doc_key", "s.kind", "s.start", "s.end",
-        F.concat_ws(":", F.col("s.kind"), entity).alias("entity"),
-        F.concat(terms(uncut, begin + skipped), terms(rest, F.col("s.end"))).alias("near"),
-    ).distinct()
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    first = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("out"))
+    rest = F.aggregate(
+        by_start, first, step,
+        lambda done: F.concat(F.array_join(done["out"], ""), F.substr(text, (done["end"] + 1).cast("int"), F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def terms_of(text: Column) -> Column:
+    """Distinct lower-case terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_key(text_of()).alias("doc_key"), text_of().alias("whole"))
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_key, base spans with their entity, and the terms outside of them, of documents
+    that hold personal data; a row a document."""
+    # explode keeps the spans from being computed again in each later expression; explode_outer, as for
+    # explode() the optimizer adds a filter that computes the list again, even below joins
+    rows = keyed(docs).select("*", F.explode_outer(F.array(base_spans(F.col("whole")))).alias("spans"))
+    spans = F.transform(
+        "spans",
+        lambda s: F.struct(
+            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), entity_of(s).alias("entity")
+        ),
+    )
+    return rows.filter(F.size("spans") > 0).select(
+        "doc_id", "doc_key", spans.alias("spans"), terms_of(blanked(F.col("whole"), F.col("spans"))).alias("terms")
+    ).dropDuplicates(["doc_id", "doc_key"])
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, disclosure: terms that reveal an entity, by counts over all documents."""
+    """entity, term, disclosure: terms that reveal an entity, by counts over all documents.
+
+    A disclosure of GENERALISE asks for n_t of at most n_c (N / n_c) ** (1 - GENERALISE), as n_ct is
+    at most n_c; terms above it are left out before they are paired with entities.
+    """
     place = ["doc_id", "doc_key"]
-    near = found.select(*place, "entity", F.explode("near.term").alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    pairs = written(pairs.filter(F.col("n_ct") >= SUPPORT))
-    holders = found.select(*place, "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    terms = small(written(pairs.select("term").distinct()))
-    held = docs.select(F.array_distinct(F.split(F.lower(text_of()), NOT_TERM)).alias("all_terms"))
+    named = found.select(*place, F.explode(F.array_distinct("spans.entity")).alias("entity"))
+    often = written(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= SUPPORT))
+    total = docs.count()
+    most = F.col("n_c") * F.pow(total / F.col("n_c"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    owned = (
+        named.join(small(often), "entity").withColumn("most", most).groupBy(*place)
+        .agg(F.collect_list(F.struct("entity", "n_c", "most")).alias("entities"), F.max("most").alias("most"))
+        .select(F.col("doc_id").alias("own_id"), F.col("doc_key").alias("own_key"), "entities", "most")
+    )
+    same = found["doc_id"].eqNullSafe(owned["own_id"]) & (found["doc_key"] == owned["own_key"])
+    held = written(found.join(owned, same).select("terms", "entities", "most"))
+    near = held.select("entities", "most", F.explode("terms").alias("term"))
+    terms = small(written(near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SUPPORT).select("term")))
     counts = (
-        held.select(F.explode_outer("all_terms").alias("term")).join(terms, "term")
+        docs.select(F.explode_outer(terms_of(text_of())).alias("term")).join(terms, "term")
         .groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     )
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    known = pairs.join(holders, "entity").join(counts, "term").crossJoin(F.broadcast(total))
-    shared = F.log(F.col("total") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    own = F.log(F.col("total") / F.col("n_c"))
+    limit = held.agg(F.max("most")).first()[0] or 0.0
+    counts = small(written(counts.filter(F.col("n_t") <= limit)))
+    paired = near.join(counts, "term").filter(F.col("n_t") <= F.col("most")).select(
+        "term", "n_t", F.explode(F.filter("entities", lambda e: F.col("n_t") <= e["most"])).alias("e")
+    )
+    known = (
+        paired.groupBy(F.col("e.entity").alias("entity"), "term")
+        .agg(F.count(F.lit(1)).alias("n_ct"), F.max("e.n_c").alias("n_c"), F.max("n_t").alias("n_t"))
+        .filter(F.col("n_ct") >= SUPPORT)
+    )
+    shared = F.log(F.lit(total) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    own = F.log(F.lit(total) / F.col("n_c"))
     return known.select(
         "entity", "term", F.when(own > 0, F.least(shared / own, F.lit(1.0))).otherwise(0.0).alias("disclosure")
     ).filter(F.col("disclosure") >= GENERALISE)
@@ -190,21 +229,30 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """doc_id, doc_key, spans: kind, start, end and disclosure (null for the base) of documents that
-    have any."""
+    have any. Terms are looked for in every whole text, outside of base spans."""
+    place = ["doc_id", "doc_key"]
     found = written(entities(docs))
-    revealing = small(written(disclosures(docs, found)))
-    terms = found.select("doc_id", "doc_key", "entity", F.explode("near").alias("m")).select(
-        "doc_id", "doc_key", "entity", "m.term", "m.start", "m.end"
+    revealing = small(written(disclosures(docs, found).groupBy("term").agg(F.max("disclosure").alias("disclosure"))))
+    holding = small(written(
+        keyed(docs).select(*place, F.explode_outer(terms_of(F.col("whole"))).alias("term")).join(revealing, "term")
+        .select(F.col("doc_id").alias("holding_id"), F.col("doc_key").alias("holding_key")).distinct()
+    ))
+    texts = keyed(docs)
+    same = texts["doc_id"].eqNullSafe(holding["holding_id"]) & (texts["doc_key"] == holding["holding_key"])
+    placed = texts.join(holding, same, "left_semi").select(
+        *place, "whole", F.explode_outer(F.array(base_spans(F.col("whole")))).alias("base")
     )
     hidden = (
-        terms.join(revealing, ["entity", "term"])
-        .groupBy("doc_id", "doc_key", "start", "end")
-        .agg(F.max("disclosure").alias("disclosure"))
-        .select("doc_id", "doc_key", F.lit(len(KINDS) - 1).alias("kind"), "start", "end", "disclosure")
+        placed.select(*place, F.explode_outer(matches(blanked(F.col("whole"), F.col("base")), TERM)).alias("m"))
+        .select(*place, F.lower("m.value").alias("term"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+        .join(revealing, "term").distinct()
+        .select(*place, F.lit(len(KINDS) - 1).alias("kind"), "start", "end", "disclosure")
+    )
+    base = found.select(*place, F.explode("spans").alias("s")).select(
+        *place, "s.kind", "s.start", "s.end", F.lit(None).cast("double").alias("disclosure")
     )
-    base = found.select("doc_id", "doc_key", "kind", "start", "end", F.lit(None).cast("double").alias("disclosure"))
     return (
-        base.unionByName(hidden).groupBy("doc_id", "doc_key")
+        base.unionByName(hidden).groupBy(*place)
         .agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "disclosure"))).alias("spans"))
     )
 
@@ -242,7 +290,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     `sanitised_text`; starts are code points from 0, ends exclusive.
 
     Null and empty texts have no spans; a null text stays null. Rows that repeat an id and a text
-    count as one document near an entity and come out alike. A null id is an id of its own. Columns
+    count as one document that holds an entity and come out alike. A null id is an id of its own. Columns
     of those names are replaced.
     """
     found = all_spans(docs).select(

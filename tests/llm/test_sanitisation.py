@@ -62,3 +62,21 @@ def test_overlapping_spans_and_no_rows(spark):
     assert [san.KINDS[s.kind] for s in row.spans] == ["ip", "phone"]
     assert row.sanitised_text == "call [phone] now"
     assert san.sanitise(df.limit(0)).count() == 0
+
+
+def test_revealing_terms_go_wherever_they_stand(spark):
+    """Far from the entity, a second time, and in a document that does not hold the entity."""
+    far = "in the town we write to the office at noon " * 6
+    rows = [(i, f"Zanzibar {far} a0@b.co {far} Zanzibar", i) for i in range(8)]
+    rows += [(50, "only Zanzibar here", 0), (51, "zanzibar@c.de in the town", 0)]
+    rows += [(100 + i, far, 0) for i in range(990)]
+    found = {r.doc_id: r for r in san.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+    def spans(i, text):
+        return [(san.KINDS[s.kind], text[s.start : s.end]) for s in found[i].spans]
+
+    assert spans(0, rows[0][1]) == [("email", "a0@b.co"), ("term", "Zanzibar"), ("term", "Zanzibar")]
+    assert found[0].sanitised_text.count("Zanzibar") == 0 and found[0].sanitised_text.count("town") == 12
+    assert spans(50, rows[8][1]) == [("term", "Zanzibar")] and "Zanzibar" not in found[50].sanitised_text
+    assert spans(51, rows[9][1]) == [("email", "zanzibar@c.de")]
+    assert found[100].spans == []
