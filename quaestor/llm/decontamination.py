@@ -39,32 +39,37 @@ def item_shingles(items: DataFrame, threshold: float = THRESHOLD, width: int = W
     ).filter(F.col("hash").isNotNull())
 
 
-def leaks(
-    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
-) -> DataFrame:
-    """doc_id, item_id, matched, containment: every document that holds `threshold` of an item's
-    distinct shingles, and how many of them.
-
-    Null or empty texts hold nothing, on either side. Fewer words than `width` make one shingle.
-    Rows that share an id are compared one by one and the best counts; repeated rows give one row.
-    A null id stays null. Other columns are ignored.
-    """
+def held_items(docs: DataFrame, items: DataFrame, threshold: float, width: int, *place: str) -> DataFrame:
+    """The columns `place` of each row of documents, and the items it holds: item_id, size, matched."""
     searched = small(written(item_shingles(items, threshold, width)))
     sets = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), shingles(text_of(), width).alias("hashes")
+        *place, F.monotonically_increasing_id().alias("row"), shingles(text_of(), width).alias("hashes")
     )
     # size_below: the largest size in the document's partition, and one
     sized = sets.select(
-        "doc_id", "row",
+        *place, "row",
         F.pow(F.lit(2.0), F.floor(F.log2(F.size("hashes"))) + 1).alias("size_below"),
         F.explode_outer("hashes").alias("hash"),
     )
     hits = sized.join(searched, "hash").filter(F.col("size_below") > F.col("need"))
-    found = hits.groupBy("doc_id", "row", "item_id", "item_key", "size", "need").agg(
+    found = hits.groupBy(*place, "row", "item_id", "item_key", "size", "need").agg(
         F.count(F.lit(1)).alias("matched"), F.max("in_sketch").alias("candidate")
     )
+    return found.filter(F.col("candidate") & (F.col("matched") >= F.col("need")))
+
+
+def leaks(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
+) -> DataFrame:
+    """doc_id, item_id, matched, containment: every document that holds `threshold` of an item's
+    distinct shingles, and how many of them.
+
+    Null or empty texts hold nothing, on either side. Fewer words than `width` make one shingle.
+    Rows that share an id are compared one by one and the best counts; repeated rows give one row.
+    A null id stays null. Other columns are ignored.
+    """
     return (
-        found.filter(F.col("candidate") & (F.col("matched") >= F.col("need")))
+        held_items(docs, items, threshold, width, "doc_id")
         .withColumn("containment", F.col("matched") / F.col("size"))
         .groupBy("doc_id", "item_id")
         .agg(F.max("matched").alias("matched"), F.max("containment").alias("containment"))
@@ -72,6 +77,9 @@ def leaks(
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The documents that hold no item. A null id is compared as a value."""
-    dirty = written(leaks(docs, items, threshold, width).select(F.col("doc_id").alias("dirty_id")).distinct())
-    return docs.join(small(dirty), docs["doc_id"].eqNullSafe(dirty["dirty_id"]), "left_anti")
+    """The documents that hold no item, told apart by id and text. A null id is compared as a value."""
+    keyed = docs.select("doc_id", "text", text_key(text_of()).alias("doc_key"))
+    held = held_items(keyed, items, threshold, width, "doc_id", "doc_key")
+    dirty = written(held.select(F.col("doc_id").alias("dirty_id"), F.col("doc_key").alias("dirty_key")).distinct())
+    same = docs["doc_id"].eqNullSafe(dirty["dirty_id"]) & (text_key(text_of()) == dirty["dirty_key"])
+    return docs.join(small(dirty), same, "left_anti")

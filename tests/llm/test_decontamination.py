@@ -38,3 +38,12 @@ def test_nulls_empty_copies_ties_and_short_items(spark):
     assert sorted(r.doc_id for r in decontamination.clean(d, i).collect()) == [2, 3, 5, 7]
     assert decontamination.leaks(d, i.limit(0)).count() == 0 and decontamination.leaks(d.limit(0), i).count() == 0
     assert decontamination.clean(d, i.limit(0)).count() == 9
+
+
+def test_clean_rows_stay_beside_dirty_ones_of_their_id(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, item), (None, "clean"), (None, None), (1, f"so {item} so"), (1, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontamination.clean(docs, items).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, "clean"), (None, None), (1, "clean too")}
