@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quaestor.llm import (
-    decontamination, language_id, licences, line_dedup, neighbours, partenum, quality,
+    decontamination, language_id, licences, line_dedup, neighbours, partenum, periodic_runs, quality,
     sanitisation, sentencepiece_viterbi, warc,
 )
-from quaestor.llm.common import table
+from quaestor.llm.common import SPACES, let, table, text_of
 
 #: Place of the public tokenizer's model; a parameter of the operators.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -102,6 +102,47 @@ def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def id_hash(column: str) -> Column:
+    """crc32 of a number's decimal text."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, drawn by id, repeat a stretch of their words up to their end."""
+    h = id_hash("doc_id")
+    g = F.floor(h / 10)
+
+    def repeating(ws: Column) -> Column:
+        n = F.size(ws)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, a + (i - a) % p)))
+
+    ws = F.filter(F.split(text_of(), SPACES), lambda w: w != "")
+    planted = let(ws, lambda found: F.when(F.size(found) > 0, F.array_join(repeating(found), " ")))
+    return docs.withColumn("text", F.when(h % 10 == 0, planted).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every text, the strongest of them, and the text without repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(with_planted_runs(docs))
+
+    def stronger(x: Column, y: Column) -> Column:
+        more, less = x["length"] * y["period"], y["length"] * x["period"]
+        earlier = (x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["period"] < y["period"]))
+        return F.when((more > less) | ((more == less) & earlier), -1).otherwise(1)
+
+    best = F.get(F.array_sort("runs", stronger), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[f].alias(f) for f in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -114,4 +155,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_quality": op9_quality,
         "op10_sanitisation": op10_sanitisation,
+        "op13_periodic_runs": op13_periodic_runs,
     }

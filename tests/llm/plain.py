@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from fractions import Fraction  # noqa: F401
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -88,3 +89,18 @@ def base_spans(text):
         for m in pattern.finditer(text or "")
         if is_personal(kind, m.group())
     ]
+
+
+def periodic_runs(ws):
+    """(start, length, period), by start and period: each period's longest equal stretches."""
+    out = {}
+    for q in range(1, len(ws) // 3 + 1):
+        k = 0
+        while k < len(ws) - q:
+            low = k
+            while k < len(ws) - q and ws[k] == ws[k + q]:
+                k += 1
+            if k - low + q >= max(24, 3 * q):
+                out.setdefault((low, k - low + q), q)
+            k += 1
+    return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
