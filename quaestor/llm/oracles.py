@@ -46,14 +46,14 @@ SELECT dh.id AS doc_id, ih.id AS item_id, count(*) AS matched, count(*) / size A
 FROM dh JOIN ih USING (h) GROUP BY dh.id, ih.id, size HAVING 10 * count(*) >= 8 * size
 """
 
-NGRAM_JACCARD = f"""
+_COMPONENTS = f"""
 WITH RECURSIVE e AS (
   SELECT *, count(*) OVER (PARTITION BY id) AS n FROM ({_SHINGLES.format(
     lower="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')",
     table="(SELECT doc_id AS id, text FROM documents)")})
 ), l AS (
   SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.h = b.h AND a.id <> b.id
-  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= %d * (a.n + b.n - count(*))
 ), r AS (
   SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a
 )
@@ -61,6 +61,10 @@ SELECT doc_id, (SELECT count(*) FROM e WHERE e.id = doc_id) AS n_shingles, min(c
 FROM r GROUP BY doc_id
 """
 
+NGRAM_JACCARD = _COMPONENTS % 80
+
+BAYES_MINHASH = f"SELECT *, doc_id = component_id AS kept FROM ({_COMPONENTS % 85})"
+
 WARC = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
@@ -109,4 +113,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_licences": LICENCES,
         "op5_decontamination": DECONTAMINATION,
         "op8_warc": WARC,
+        "op11_bayes_minhash": BAYES_MINHASH,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quaestor.llm import (
-    decontamination, language_id, licences, line_dedup, neighbours, partenum, periodic_runs, quality,
+    bayes_minhash, decontamination, language_id, licences, line_dedup, neighbours, partenum, periodic_runs, quality,
     sanitisation, sentencepiece_viterbi, warc,
 )
 from quaestor.llm.common import SPACES, let, table, text_of
@@ -102,6 +102,11 @@ def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and component of every document's set of word shingles, and whether it stays."""
+    return bayes_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def id_hash(column: str) -> Column:
     """crc32 of a number's decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -155,5 +160,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_quality": op9_quality,
         "op10_sanitisation": op10_sanitisation,
+        "op11_bayes_minhash": op11_bayes_minhash,
         "op13_periodic_runs": op13_periodic_runs,
     }

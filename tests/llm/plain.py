@@ -16,7 +16,7 @@ def shingles(text, lower=lambda t: t.translate(UPPER)):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=80):
     """{doc_id: (set size, smallest linked id)} of unique ids."""
     sets = {d: shingles(t) for d, t in docs}
     root = {d: d for d in sets}
@@ -30,7 +30,7 @@ def near_duplicates(docs):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
