@@ -81,6 +81,42 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM d
 """
 
+# CRC-32 of an id's decimal text, bit by bit.
+_CRC = """xor(list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, byte: list_reduce(
+        list_concat([xor(c, byte)], list_transform(range(8), lambda k: 0::BIGINT)),
+        lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)), 4294967295::BIGINT)"""
+
+PREFIX_TRIE = f"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, {_CRC} % 6 AS h, conv_id - conv_id % 100 AS b FROM (SELECT DISTINCT conv_id FROM o)
+), r AS (
+  SELECT c.conv_id, o.i, k, w FROM c JOIN o ON o.conv_id = c.b AND o.i <= h
+  UNION ALL SELECT c.conv_id, o.i, k, w FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > h
+), p AS (
+  SELECT conv_id, row_number() OVER a AS d, string_agg(k, '') OVER a AS path, w FROM r WINDOW a AS (PARTITION BY conv_id ORDER BY i)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), n AS (
+  SELECT path, d, w, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY ALL
+), m AS (
+  SELECT n.*, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND starts_with(x.path, n.path)) AS n_children FROM n
+), s AS (
+  SELECT a.path, sum((b.n_convs - 1) * b.w) AS saved, count(*) FILTER (b.n_children = 0) AS leaves
+  FROM m a JOIN m b ON starts_with(b.path, a.path) GROUP BY a.path
+), e AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, max_by(path, d) AS path FROM p GROUP BY conv_id) GROUP BY path
+)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN m q ON q.d = m.d - 1 AND q.path = left(m.path, 32 * q.d)
+"""
+
 _TEMPLATES = ", ".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, _, text in TEMPLATES)
 
 LICENCES = rf"""
@@ -114,4 +150,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": DECONTAMINATION,
         "op8_warc": WARC,
         "op11_bayes_minhash": BAYES_MINHASH,
+        "op12_prefix_trie": PREFIX_TRIE,
     }

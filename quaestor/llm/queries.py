@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quaestor.llm import (
-    bayes_minhash, decontamination, language_id, licences, line_dedup, neighbours, partenum, periodic_runs, quality,
-    sanitisation, sentencepiece_viterbi, warc,
+    bayes_minhash, decontamination, language_id, licences, line_dedup, neighbours, partenum, periodic_runs, prefix_trie,
+    quality, sanitisation, sentencepiece_viterbi, warc,
 )
 from quaestor.llm.common import SPACES, let, table, text_of
 
@@ -112,6 +112,26 @@ def id_hash(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def with_shared_beginnings(conversations: DataFrame) -> DataFrame:
+    """Up to five first turns, by a hash of the id, are those of the conversation that begins its hundred."""
+    h = (id_hash("conv_id") % 6).cast("int")
+    heads = conversations.select(F.col("conv_id").alias("base"), F.slice("turns", 1, 5).alias("head"))
+    none = F.array().cast(prefix_trie.TURNS)
+    return (
+        conversations.withColumn("base", F.col("conv_id") - F.col("conv_id") % 100)
+        .join(heads, "base", "left")
+        .select("conv_id", F.concat(
+            F.slice(F.coalesce("head", none), F.lit(1), h), F.slice("turns", h + 1, F.size("turns"))
+        ).alias("turns"))
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations."""
+    conversations = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(with_shared_beginnings(conversations))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """A tenth of the texts, drawn by id, repeat a stretch of their words up to their end."""
     h = id_hash("doc_id")
@@ -161,5 +181,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_sanitisation": op10_sanitisation,
         "op11_bayes_minhash": op11_bayes_minhash,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_periodic_runs": op13_periodic_runs,
     }

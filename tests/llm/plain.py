@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections import defaultdict
 from fractions import Fraction  # noqa: F401
 
@@ -104,3 +106,41 @@ def periodic_runs(ws):
                 out.setdefault((low, k - low + q), q)
             k += 1
     return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def rebuilt(rows):
+    """{conv_id: turns} whose first turns are those of the conversation that begins its hundred."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        own[c].append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [(r, t) for _, r, t in sorted(ts)] for c, ts in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - c % 100, [])[:h] + turns[h:]
+    return out
+
+
+def prefix_trie(conversations):
+    """Rows of every distinct prefix of the conversations {conv_id: turns}."""
+    of = defaultdict(list)
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            of[tuple(turns[:d])].append(c)
+    children = defaultdict(list)
+    for prefix in of:
+        if prefix:
+            children[prefix[:-1]].append(prefix)
+    leaves, saved = {}, {}
+    for prefix in sorted(of, key=len, reverse=True):
+        below = children[prefix]
+        leaves[prefix] = sum(leaves[b] for b in below) or 1
+        own = (len(of[prefix]) - 1) * len(prefix[-1][1]) if prefix else 0
+        saved[prefix] = own + sum(saved[b] for b in below)
+    return sorted(
+        (
+            min(cs), len(p), min(of[p[:-1]]) if p else None, len(cs), len(children[p]), leaves[p], saved[p],
+            hashlib.sha256(",".join(str(c) for c in sorted(cs) if len(conversations[c]) == len(p)).encode()).hexdigest(),
+        )
+        for p, cs in of.items()
+    )
