@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,23 +14,6 @@ def with_known(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The frame computed now and kept in the shared checkpoint folder.
-
-    For small frames that come out a little different when computed again, such as sketches: a
-    task that runs again after a lost executor then sees the same rows as the others did. The
-    folder is the session's `spark.checkpoint.dir`; without one, a local session makes its own
-    and any other stops, since executors share no local folder.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by name of many frames, pairwise: a chain would analyse its first frames again and
     again."""

@@ -1,9 +1,10 @@
 """Declared data checks as Spark jobs.
 
-All checks that look at one row at a time are counted in a single pass per table, without a
-shuffle. All checks of keys and values share another: each table is read once for all its columns
-that any of them needs, every key becomes one row with its count in each of these columns, and a
-check compares two counts of a row. A parent table is read once, however many tables refer to it.
+A table is evaluated once for all its checks. Each of its rows becomes one cell per checked key column,
+and one cell whose key is the pattern of row checks that it fails. All cells of all
+tables are counted by key in one aggregation: a key has its count in each place it came from, and a
+check compares two counts of a key or sums those of the patterns that hold it. A parent table is
+read once, however many tables refer to it. Row checks alone need no shuffle and are counted in place.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from quaestor.functions.frames import stacked
 NOT_NULL, RANGE, EXPRESSION = "not_null", "accepted_range", "expression_is_true"
 UNIQUE, RELATIONSHIP, VALUES = "unique", "relationships", "accepted_values"
 ROW_KINDS = (NOT_NULL, RANGE, EXPRESSION)
+# Row checks whose failing pattern fits into one number.
+PATTERN_BITS = 60
 
 
 @dataclass(frozen=True)
@@ -90,22 +93,22 @@ def row_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> Data
 
 def unique_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Known keys that occur more than once."""
-    return _result(_key_lines(tables, _of_kind(checks, UNIQUE)))
+    return _result(_cell_lines(tables, _of_kind(checks, UNIQUE)))
 
 
 def relationship_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Rows whose known key the parent table does not have."""
-    return _result(_key_lines(tables, _of_kind(checks, RELATIONSHIP)))
+    return _result(_cell_lines(tables, _of_kind(checks, RELATIONSHIP)))
 
 
 def value_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
     """Distinct known values outside the accepted list."""
-    return _result(_key_lines(tables, _of_kind(checks, VALUES)))
+    return _result(_cell_lines(tables, _of_kind(checks, VALUES)))
 
 
 def check_report(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """One line per check: what was checked, how many failures, and pass, warn or fail."""
-    return _result([*_row_lines(tables, checks), *_key_lines(tables, checks)])
+    return _result(_cell_lines(tables, checks))
 
 
 def _row_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
@@ -123,44 +126,66 @@ def _row_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list
     ]
 
 
-def _key_lines(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> list[DataFrame]:
-    checks = _of_kind(checks, UNIQUE, RELATIONSHIP, VALUES)
+@dataclass(frozen=True)
+class _Place:
+    """Where a key comes from: a column, the values of a column that a check doesn't accept, or the
+    failing patterns of some row checks."""
+
+    table: str
+    column: str | None = None
+    values: Check | None = None
+    row_checks: tuple[Check, ...] = ()
+
+    def key(self) -> str:
+        """SQL for a row's key as text, NULL for none."""
+        if self.row_checks:
+            bits = " + ".join(
+                f"CASE WHEN {c.fails()} THEN {1 << i}L ELSE 0L END" for i, c in enumerate(self.row_checks)
+            )
+            return f"CAST({bits} AS string)"
+        text = f"CAST({sql_name(self.column)} AS string)"
+        if self.values is None:
+            return text
+        accepted = ", ".join(sql_text(v) for v in self.values.values)
+        return f"CASE WHEN {sql_name(self.column)} NOT IN ({accepted}) THEN {text} END"
+
+
+def _cell_lines(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> list[DataFrame]:
     if not checks:
         return []
-    # A place is a column some check needs, or the values of one that its check doesn't accept.
-    places: dict[tuple[str, str, Check | None], int] = {}
+    places: dict[_Place, int] = {}
 
-    def place(table: str, column: str, check: Check | None = None) -> int:
-        return places.setdefault((table, column, check), len(places))
+    def count_of(place: _Place) -> str:
+        return f"n{places.setdefault(place, len(places))}"
 
+    patterns: dict[Check, tuple[_Place, int]] = {}
+    for table in dict.fromkeys(c.table for c in checks):
+        own = [c for c in checks if c.table == table and c.kind in ROW_KINDS]
+        for start in range(0, len(own), PATTERN_BITS):
+            place = _Place(table, row_checks=tuple(own[start : start + PATTERN_BITS]))
+            patterns |= {c: (place, 1 << i) for i, c in enumerate(place.row_checks)}
     failures = []
     for i, c in enumerate(checks):
-        own = place(c.table, c.column, c if c.kind == VALUES else None)
-        if c.kind == UNIQUE:
-            failing = f"count_if(n{own} > 1)"
+        if c.kind in ROW_KINDS:
+            place, bit = patterns[c]
+            n = count_of(place)
+            # a customer's key may read like a pattern, so only a key from this place is one
+            failing = f"sum(if({n} > 0 AND pattern & {bit}L <> 0, {n}, 0L))"
+        elif c.kind == UNIQUE:
+            failing = f"count_if({count_of(_Place(c.table, c.column))} > 1)"
         elif c.kind == VALUES:
-            failing = f"count_if(n{own} > 0)"
+            failing = f"count_if({count_of(_Place(c.table, c.column, c))} > 0)"
         else:
-            parent = place(c.parent, c.parent_column)
-            failing = f"sum(CASE WHEN n{parent} = 0 THEN n{own} ELSE 0 END)"
+            own, parent = count_of(_Place(c.table, c.column)), count_of(_Place(c.parent, c.parent_column))
+            failing = f"sum(CASE WHEN {parent} = 0 THEN {own} ELSE 0 END)"
         failures.append(f"{failing} AS f{i}")
     rows = []
-    for table in dict.fromkeys(table for table, _, _ in places):
+    for table in dict.fromkeys(place.table for place in places):
         cells = ", ".join(
-            f"struct({i} AS place, {_key(column, check)} AS key)"
-            for (owner, column, check), i in places.items()
-            if owner == table
+            f"struct({i} AS place, {place.key()} AS key)" for place, i in places.items() if place.table == table
         )
         rows.append(tables[table].selectExpr(f"inline(array({cells}))").filter("key IS NOT NULL"))
     counts = [F.count_if(F.col("place") == i).alias(f"n{i}") for i in places.values()]
     keys = stacked(rows).groupBy("key").agg(*counts)
-    return [_lines(keys.selectExpr(*failures), checks)]
-
-
-def _key(column: str, check: Check | None) -> str:
-    """SQL for a column's value as text, or for a value that the check doesn't accept."""
-    text = f"CAST({sql_name(column)} AS string)"
-    if check is None:
-        return text
-    accepted = ", ".join(sql_text(v) for v in check.values)
-    return f"CASE WHEN {sql_name(column)} NOT IN ({accepted}) THEN {text} END"
+    keyed = keys.selectExpr("*", "try_cast(key AS bigint) AS pattern")
+    return [_lines(keyed.selectExpr(*failures), checks)]

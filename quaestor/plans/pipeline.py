@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from quaestor.plans import models
 from quaestor.plans.check_definitions import CHECKS
 from quaestor.plans.models import AsOf
 from quaestor.schemas import CUSTOMER_KEY
-from quaestor.sources.tables import register_views, save_table, with_load_time
+from quaestor.sources.tables import register_views, replace_tables, save_table, with_load_time
 
 INTERMEDIATE = ("int_customer_policies", "int_customer_claims", "int_customer_interactions")
 MARTS = ("dim_customers", "fact_policies", "mart_competitor_analysis")
@@ -49,24 +50,30 @@ def run_pipeline(
     as_of: AsOf = None,
     checks: Sequence[Check] = tuple(CHECKS),
     customer_buckets: int | None = None,
+    only_if_passing: bool = False,
 ) -> DataFrame:
-    """Register views, rewrite the mart tables in `<database>_marts` and return the check report.
+    """Register views, replace the mart tables in `<database>_marts` and return the check report.
+
+    New marts are saved under names of this run, checked as they were saved, and only then take
+    the place of the former ones, so readers see whole and checked marts. With `only_if_passing`
+    they don't if a check fails: the former marts stay and the new ones are dropped. The report is
+    saved either way. What a run that breaks off has saved stays under its own names.
 
     Staging and intermediate frames become temporary views; the competitor mart keeps no load
     time. The customer dimension holds a customer once, so it can be bucketed by customer. The
-    checks read the marts back from storage. The customer aggregates are needed by a mart and by
-    the checks, so they are cached for the run; the report is small and complete when this
-    returns.
+    customer aggregates are needed by a mart and by the checks, so they are cached for the run; the
+    report is small and complete when this returns.
     """
     frames = build_frames(raw, company, as_of)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}_marts`")
     cached = [frames[name].persist() for name in INTERMEDIATE]
+    run = uuid.uuid4().hex[:12]
+    staged = {f"{database}_marts.{mart}": f"{database}_marts.{mart}_{run}" for mart in MARTS}
     try:
         register_views({n: f for n, f in frames.items() if n not in MARTS})
         saved = {}
-        for mart in MARTS:
+        for mart, table in zip(MARTS, staged.values(), strict=True):
             stamped = mart != "mart_competitor_analysis"
-            table = f"{database}_marts.{mart}"
             bucketed = customer_buckets if mart == "dim_customers" else None
             save_table(
                 with_load_time(frames[mart]) if stamped else frames[mart],
@@ -75,9 +82,14 @@ def run_pipeline(
                 buckets=bucketed,
             )
             saved[mart] = spark.table(table)
-        report = check_report({**raw, **frames, **saved}, checks)
-        save_table(report, f"{database}_marts.check_report")
+        save_table(check_report({**raw, **frames, **saved}, checks), f"{database}_marts.check_report")
     finally:
         for frame in cached:
             frame.unpersist()
-    return spark.table(f"{database}_marts.check_report")
+    report = spark.table(f"{database}_marts.check_report")
+    if only_if_passing and not report.filter("status = 'fail'").isEmpty():
+        for table in staged.values():
+            spark.sql(f"DROP TABLE {table}")
+    else:
+        replace_tables(spark, staged)
+    return report

@@ -37,6 +37,22 @@ def save_table(
     writer.saveAsTable(name)
 
 
+def replace_tables(spark: SparkSession, replacements: Mapping[str, str]) -> None:
+    """Give each saved table in `replacements` (table -> the one that takes its place) its new name.
+
+    All names are of tables in one database, as "database.table". The former table goes only once
+    the new one has its name; until then it is there, if need be under the name that ends in `_old`.
+    """
+    for table, new in replacements.items():
+        old = f"{new}_old"
+        known = spark.catalog.tableExists(table)
+        if known:
+            spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+        if known:
+            spark.sql(f"DROP TABLE {old}")
+
+
 def with_load_time(df: DataFrame, column: str = LOAD_TIME_COLUMN) -> DataFrame:
     """Stamp rows with the time of the query that writes them."""
     return df.withColumn(column, F.current_timestamp())

@@ -18,6 +18,7 @@ from quaestor.plans.pipeline import build_frames
 from quaestor.schemas import RAW_TABLES
 from quaestor.sources.binding import raw_table, raw_tables
 from quaestor.sources.tables import describe_table, head_rows, row_counts, sample_rows
+from quaestor.verification import stores
 from quaestor.verification.views import AS_OF, COMPANY, EARLY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,9 +141,26 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
             e.customer_geography(i.clienti), "customer_id",
         ),
         "describe_tables": lambda i: stacked([
-            describe_table(df).select(F.lit(t).alias("table_name"), "column_name", "data_type")
+            describe_table(df).select(
+                F.lit(t).alias("table_name"), "column_name", "data_type", "nullable"
+            )
             for t, df in i.raw.items()
         ]),
+        # Files, tables and views
+        "csv_load_homes": lambda i: stores.csv_load(i.spark, i.raw, "abitazioni"),
+        "csv_load_counts": lambda i: stores.csv_load_counts(i.spark, i.raw),
+        "catalogue_tables": lambda i: stores.catalogue(i.spark, i.raw),
+        "saved_fact_policies": lambda i: stores.saved_mart(
+            i.spark, i.raw, COMPANY, AS_OF, "fact_policies"
+        ),
+        "saved_check_report": lambda i: stores.saved_mart(
+            i.spark, i.raw, COMPANY, AS_OF, "check_report"
+        ),
+        "view_claims": lambda i: stores.through_views(
+            i.spark, {CLAIMS: i.customer_claims}, CLAIMS
+        ),
+        "report_cities": lambda i: stores.report_page(i.staged, SELECTION, "city_clv"),
+        "report_policies": lambda i: stores.report_page(i.staged, SELECTION, "kpi_policies"),
         # Models
         **{f"stg_{t}": lambda i, t=t: i.stage(t) for t in RAW_TABLES},
         "int_customer_policies": lambda i: i.customer_policies,

@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings as hypothesis_settings, strategies as st
+from pyspark.sql import functions as F
 
 import samples
-from quaestor.operators import distributions, profile
+from quaestor.operators import distributions, profile, quantiles
 from quaestor.operators.quantiles import exact_quantiles
 
 PROBABILITIES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
@@ -185,7 +186,31 @@ def test_nan_counts_as_unknown(spark):
     assert (row.n, row.m) == (2, 2.0)
 
 
-def test_brackets_are_kept_in_the_folder_the_session_names(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    exact_quantiles(frame(spark, [1.0, 2.0, 4.0]), "x", {"m": 0.5}, ["g"])
-    assert [p for p in tmp_path.rglob("part-*")]
+@pytest.mark.parametrize("few_groups", [True, False])
+@pytest.mark.parametrize("accuracy, cells", [(1_000, 2), (2, 4), (100, 1)])
+def test_quantiles_do_not_depend_on_how_well_the_first_bounds_fit(
+    spark, monkeypatch, few_groups, accuracy, cells
+):
+    """A sketch that is nearly useless, or misses the rank, and cells that hardly part values."""
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "REACH", 0.0)
+    monkeypatch.setattr(quantiles, "CELLS", cells)
+    values = np.exp(np.random.default_rng(7).normal(size=3_000) * 3)
+    check_quantiles(frame(spark, values), values, few_groups=few_groups)
+
+
+@pytest.mark.parametrize("few_groups", [True, False])
+def test_quantiles_between_infinite_and_huge_values(spark, few_groups):
+    values = [float("-inf"), -1.7e308, -1.0, 0.0, 1.0, 2.0, 3.0, 1.7e308, float("inf")]
+    names = {f"p{i}": i / 8 for i in range(9)}
+    row = exact_quantiles(frame(spark, values), "x", names, ["g"], few_groups=few_groups).first()
+    assert [row[f"p{i}"] for i in range(9)] == values
+
+
+def test_cells_never_fall_as_values_rise(spark):
+    low, high = F.lit(-3.0), F.lit(1e16)
+    values = sorted([-3.0, 1e16, *np.random.default_rng(2).uniform(-3, 1e16, 400), *np.linspace(-3, 3, 50)])
+    cell = quantiles.cell_of(F.col("x"), low, quantiles.scale_of(low, high, 64), 64)
+    df = frame(spark, values).select("x", cell.alias("cell"))
+    cells = [r.cell for r in df.orderBy("x").collect()]
+    assert cells == sorted(cells) and cells[0] == 0 and cells[-1] == 63

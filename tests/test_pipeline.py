@@ -46,6 +46,32 @@ def test_files_to_marts(spark, tmp_path, database, buckets):
     assert spark.sql("SELECT count(*) FROM int_customer_claims").first()[0] == 5
 
 
+def test_a_failing_check_leaves_the_former_marts(spark, database):
+    clean = {
+        "clienti": [samples.customer(1), samples.customer(2)], "polizze": [samples.policy(1, 100.0)],
+        "sinistri": [], "interazioni_clienti": [],
+    }
+
+    def run(**changes):
+        raw = samples.raw_frames(spark, **{**clean, **changes})
+        report = run_pipeline(spark, raw, samples.COMPANY, database, samples.AS_OF, only_if_passing=True)
+        tables = {t.name for t in spark.catalog.listTables(f"{database}_marts") if not t.isTemporary}
+        assert tables == {*MARTS, "check_report"}
+        customers = {r.codice_cliente for r in spark.table(f"{database}_marts.dim_customers").collect()}
+        return customers, report.filter("status = 'fail'").count()
+
+    assert run() == ({1, 2}, 0)
+    customers, failing = run(clienti=[*clean["clienti"], samples.customer(3, eta=None)])
+    assert customers == {1, 2} and failing > 0
+    assert run(clienti=[*clean["clienti"], samples.customer(3)]) == ({1, 2, 3}, 0)
+
+
+def test_no_marts_appear_if_the_first_run_fails(spark, database):
+    raw = samples.raw_frames(spark, clienti=[samples.customer(1, eta=None)])
+    run_pipeline(spark, raw, samples.COMPANY, database, samples.AS_OF, only_if_passing=True)
+    assert [t.name for t in spark.catalog.listTables(f"{database}_marts") if not t.isTemporary] == ["check_report"]
+
+
 def test_report_frames_follow_the_selection(spark):
     staged = {n: f for n, f in build_frames(samples.raw_frames(spark), "x").items()
               if n.startswith("stg_")}

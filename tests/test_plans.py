@@ -6,7 +6,8 @@ import pytest
 
 import samples
 from conftest import TESTDATA
-from quaestor.operators import distributions, profile
+from quaestor.operators import distributions, profile, quantiles
+from quaestor.operators.quantiles import exact_quantiles
 from quaestor.operators.staging import stage, stage_all
 from quaestor.plans import analyses, models
 from quaestor.sources.tables import save_table
@@ -146,11 +147,23 @@ def test_row_checks_read_each_table_once_without_a_shuffle_of_rows(spark, saved)
     assert plan.count("FileScan") == 3 and "hashpartitioning" not in plan
 
 
-def test_numeric_profile_keeps_values_outside_the_brackets_where_they_are(saved):
-    """The shuffle is keyed by gap or bracketed value, after a partial aggregation."""
-    plan = plan_of(profile.profile_numeric({"t": saved["plain"]["stg_polizze"]}))
+def test_numeric_profile_reads_again_only_what_the_first_counts_leave_open(saved):
+    """Two reads: the bounds, and the counts in cells. What later rounds would read is left out when
+    every rank is known by then. Values leave their task as counts only."""
+    df = profile.profile_numeric({"t": saved["plain"]["stg_polizze"]})
+    plan = final_plan(df)
     assert plan.count("FileScan") == 2
     assert "SortMergeJoin" not in plan
+    assert all(", v#" not in keys for keys in re.findall(r"hashpartitioning\((.*?)\)", plan))
+
+
+def test_check_report_evaluates_each_table_once(saved):
+    from quaestor.operators import checks
+    from quaestor.plans.check_definitions import STAGING_CHECKS
+
+    plan = plan_of(checks.check_report(saved["plain"], STAGING_CHECKS))
+    assert plan.count("FileScan") == len({c.table for c in STAGING_CHECKS}) == 4
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_missing_values_are_filtered_by_the_scan(saved, settings):
@@ -169,35 +182,35 @@ def test_histogram_evaluates_its_bounds_once(saved):
     assert samples.CUSTOMERS and df.agg({"n": "sum"}).first()[0] == len(samples.CUSTOMERS)
 
 
-def test_a_large_group_reaches_the_rank_window_as_a_sliver(spark):
-    """300,000 distinct values of one group; what is ranked is a small part of them."""
-    from quaestor.operators.quantiles import BRACKET_MARGIN, exact_quantiles
-
-    n = 300_000
-    df = spark.range(n).selectExpr("'g' AS g", "CAST(id * 7919 % 300007 AS double) AS x")
-    result = exact_quantiles(df, "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["g"])
-    result.collect()
-    window_input = metric_rows(result, "Window")
-    assert window_input and max(window_input) <= 3 * (4 * BRACKET_MARGIN * n + 10)
-
-
-def metric_rows(df, operator):
-    """Rows that entered the aggregations below an operator of the executed plan."""
-    nodes = [df._jdf.queryExecution().executedPlan()]
-    found, rows = False, []
+@pytest.mark.parametrize("few_groups", [True, False])
+def test_what_is_ranked_does_not_grow_with_the_group(spark, settings, few_groups):
+    """Distinct values of one group, evenly spread or over many powers of ten."""
+    settings(spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    ranked = {}
+    for n in (40_000, 800_000):
+        for shape in ("CAST(id * 7919 % 1000003 AS double)", "exp(CAST(id * 7919 % 1000003 AS double) / 40000)"):
+            df = spark.range(n).selectExpr("'g' AS g", f"{shape} AS x")
+            result = exact_quantiles(df, "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["g"], few_groups=few_groups)
+            result.collect()
+            ranked[n, shape] = max(window_inputs(result))
+    assert max(ranked.values()) <= 6 * quantiles.CELLS, ranked
+
+
+def window_inputs(df):
+    """Rows that entered each window of the executed plan."""
+    nodes = [(df._jdf.queryExecution().executedPlan(), False)]
+    rows = []
     while nodes:
-        node = nodes.pop()
+        node, below = nodes.pop()
         name = node.nodeName()
         if "AdaptiveSparkPlan" in name:
-            nodes.append(node.executedPlan())
+            nodes.append((node.executedPlan(), below))
             continue
         if "QueryStage" in name:
-            nodes.append(node.plan())
-        if operator in name:
-            found = True
-        if found and name == "HashAggregate":
+            nodes.append((node.plan(), below))
+        if below and "HashAggregate" in name:
             rows.append(node.metrics().apply("numOutputRows").value())
-            return rows
+            below = False
         children = node.children()
-        nodes.extend(children.apply(i) for i in range(children.size()))
+        nodes.extend((children.apply(i), below or name == "Window") for i in range(children.size()))
     return rows
