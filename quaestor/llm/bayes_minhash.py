@@ -9,7 +9,7 @@ threshold falls below MISS is given up. What survives all batches is verified on
 Buckets don't yield all their pairs:
 
 - An element that no other text in any bucket has lowers every similarity of its set, so a set with
-  more than 15 % of such own elements links with nothing, and leaves.
+  more than 15 % of such own elements links with nothing, and leaves. Then others have more of them.
 - In two turns each bucket's members are compared with one pivot, first the one with the least share
   of own elements, which links if any does. A bucket that is one component by then is done.
 - Only pairs across components are left, each made in the first bucket that it shares, and only if
@@ -28,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quaestor.llm.common import map_arrow, small, text_of, written
 from quaestor.llm.components import components
@@ -39,6 +39,8 @@ BANDS, ROWS = 25, 5
 CHECKED, BATCH = 128, 16
 #: Posterior probability of reaching the threshold below which a pair is given up.
 MISS = 1e-6
+#: How often own elements are counted, each time among the texts that stayed.
+PEELS = 3
 #: Pairs of one text in a task, and members of a bucket's block.
 DEGREE, BLOCK = 256, 256
 #: Bytes of the pairs of full sets that a worker holds at once.
@@ -215,22 +217,27 @@ def own_counts(sets: DataFrame) -> DataFrame:
     return alone.groupBy("k").agg(F.count(F.lit(1)).alias("u"))
 
 
+def may_link(n_x: Column, u_x: Column, n_y: Column, u_y: Column) -> Column:
+    """Own elements differ for sure, and so does what one set has more of the others."""
+    differ = u_x + u_y + F.abs((n_x - u_x) - (n_y - u_y))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (n_x + n_y)
+
+
 def starred(buckets: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of each bucket's pivot and its other members."""
-    order = F.struct(F.col("u") / F.col("n"), "k") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "k"), "k")
+    first = F.col("u") / F.col("n") if turn == 0 else F.xxhash64(F.lit(turn), "k")
     pivots = (
-        buckets.groupBy("sig").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("size"))
-        .filter("size > 1").select("sig", F.col("least.k").alias("pivot"))
+        buckets.groupBy("sig").agg(F.min(F.struct(first, "k", "n", "u")).alias("p"), F.count(F.lit(1)).alias("size"))
+        .filter("size > 1").select("sig", *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("k", "n", "u")])
     )
-    rows = buckets.join(pivots, "sig").filter("k <> pivot")
-    return rows.select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b"))
+    rows = buckets.join(pivots, "sig").filter("k <> k_p").filter(may_link(*(F.col(c) for c in ("n", "u", "n_p", "u_p"))))
+    return rows.select(F.least("k", "k_p").alias("a"), F.greatest("k", "k_p").alias("b"))
 
 
 def across(members: DataFrame, bands: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (sig, k, n, u, root) of different components that may link, each once.
 
-    One of a pair's texts isn't in the bucket's main component. Own elements differ for sure, and
-    so does what one set has more of the others.
+    One of a pair's texts isn't in the bucket's main component.
     """
     sizes = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("sig").agg(
@@ -249,12 +256,10 @@ def across(members: DataFrame, bands: DataFrame) -> DataFrame:
         "sig", F.pmod(F.xxhash64("k"), "blocks").cast("int").alias("block"), (F.col("root") == F.col("main")).alias("in_main"),
         *[F.col(c).alias(f"{c}_y") for c in columns],
     )
-    n_x, n_y, u_x, u_y = (F.col(c) for c in ("n_x", "n_y", "u_x", "u_y"))
-    differ = u_x + u_y + F.abs((n_x - u_x) - (n_y - u_y))
     may = (
         (F.col("root_x") != F.col("root_y"))
         & (F.col("in_main") | (F.col("k_x") < F.col("k_y")))
-        & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n_x + n_y))
+        & may_link(*(F.col(c) for c in ("n_x", "u_x", "n_y", "u_y")))
         & (F.get(F.array_intersect("bands_x", "bands_y"), F.lit(0)) == left["sig"])
     )
     found = left.join(right, (left["sig"] == right["sig"]) & (left["block"] == right["block"]) & may)
@@ -274,9 +279,12 @@ def links(docs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     owner = [all_docs[h] == wanted[h] for h in HASHES] + [all_docs["doc_id"].eqNullSafe(wanted["least_id"])]
     own = all_docs.join(wanted, owner).select("k", "text")
     sets = written(map_arrow(own, lambda batches: _sets(batches, width), "k long, hashes binary").dropDuplicates(["k"]))
-    facts = opened.select("k", "n").join(own_counts(sets), "k", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    alive = small(written(facts.filter(100 * (F.col("n") - F.col("u")) >= PERCENT * F.col("n"))))
-    crowd, found = written(buckets.join(alive, "k")), None
+    alive = opened
+    for _ in range(PEELS):
+        facts = alive.select("k", "n").join(own_counts(sets.join(small(alive.select("k")), "k", "left_semi")), "k", "left")
+        own = F.coalesce("u", F.lit(0)).alias("u")
+        alive = written(facts.select("k", "n", own).filter(100 * (F.col("n") - F.col("u")) >= PERCENT * F.col("n")))
+    crowd, found = written(buckets.join(small(alive), "k")), None
     for turn in range(2):
         new = verified(starred(crowd, turn), texts.select("k", "sketch"), sets)
         found = new if found is None else found.unionAll(new)
