@@ -6,19 +6,19 @@ long part the text's own beginning would stand in for the dictionary. Where the
 comes close, the text is rejected.
 
 The fit takes at most SAMPLE_ROWS different texts per language, those of smallest hash in a share of
-all hashes that DRAWN times as many rows have, and PIECE_CHARS of each. Rows outside the share leave
+all hashes that about DRAWN times as many different texts have, and PIECE_CHARS of each. Rows outside the share leave
 no task, so a language that most rows have doesn't meet in one. The dictionaries, DICTIONARY_BYTES
 for each language, are sent to all tasks.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -34,7 +34,7 @@ LEVEL = 3
 MARGIN = 0.01
 UNKNOWN = "und"
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> str:
@@ -83,7 +83,7 @@ def fit(labelled: DataFrame) -> LanguageModel:
     Equal rows count once, so copies don't fill a dictionary. No rows give a model of no language.
     """
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64(F.lit(1), "text")).alias("n"))
     # Few tasks' worth of rows come into question: those in a share of all hashes.
     share = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 20)) / float(1 << 20)
     drawn = known.select("lang", "text", share.alias("share")).join(small(written(sizes)), "lang")

@@ -42,3 +42,16 @@ def test_copies_do_not_fill_a_dictionary(spark):
     rows = [("en", "copy of one text")] * 2000 + [("en", f"other text number {chr(97 + i % 26) * 5}") for i in range(26)]
     model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
     assert model.dictionaries["en"].count(b"copy") == 1 and model.dictionaries["en"].count(b"other") == 26
+
+
+def test_numbers_that_are_no_digits_are_no_letters(spark):
+    model = language_id.LanguageModel({"de": b"der hund", "en": b"the dog"})
+    assert [model.predict(t)[0] for t in ("½ ²", "Ⅷ", "①", "٣ _", "½ dog", "ªº")] == ["und"] * 4 + ["en", model.predict("ªº")[0]]
+    assert model.predict("ªº")[0] != "und"  # category Lo
+
+
+def test_a_language_of_many_copies_is_learned_from_its_other_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 20)
+    rows = [("en", "copy of one text")] * 20_000 + [("en", f"other text {chr(97 + i % 26) * (1 + i // 26)}") for i in range(100)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.dictionaries["en"].count(b"text") == 20
