@@ -196,7 +196,7 @@ def _describe_tables() -> str:
     words = " ".join(f"WHEN '{duck}' THEN '{spark}'" for duck, spark in names.items())
     return _union([
         f"""SELECT '{table}' AS table_name, '{c.header}' AS column_name,
-            CASE any_value(typeof("{c.header}")) {words} END AS data_type, true AS nullable
+            CASE any_value(typeof("{c.header}")) {words} END AS data_type
         FROM (SELECT count(*) AS n, any_value("{c.header}") AS "{c.header}" FROM {table})"""
         for table, columns in RAW_TABLES.items()
         for c in columns
@@ -487,6 +487,7 @@ def _selects() -> dict[str, str]:
         "catalogue_tables": _union([
             f"SELECT '{t}' AS table_name, 'MANAGED' AS table_type" for t in RAW_TABLES
         ]),
+        "described_tables": f"SELECT *, true AS nullable FROM ({sql['describe_tables']})",
         "saved_fact_policies": sql["fact_policies"],
         "saved_check_report": sql["dq_report"],
         "view_claims": sql["int_customer_claims"],

@@ -141,15 +141,14 @@ def _over_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
             e.customer_geography(i.clienti), "customer_id",
         ),
         "describe_tables": lambda i: stacked([
-            describe_table(df).select(
-                F.lit(t).alias("table_name"), "column_name", "data_type", "nullable"
-            )
+            describe_table(df).select(F.lit(t).alias("table_name"), "column_name", "data_type")
             for t, df in i.raw.items()
         ]),
         # Files, tables and views
         "csv_load_homes": lambda i: stores.csv_load(i.spark, i.raw, "abitazioni"),
         "csv_load_counts": lambda i: stores.csv_load_counts(i.spark, i.raw),
         "catalogue_tables": lambda i: stores.catalogue(i.spark, i.raw),
+        "described_tables": lambda i: stores.described(i.spark, i.raw),
         "saved_fact_policies": lambda i: stores.saved_mart(
             i.spark, i.raw, COMPANY, AS_OF, "fact_policies"
         ),

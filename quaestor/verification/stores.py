@@ -11,12 +11,13 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quaestor.functions.frames import stacked
 from quaestor.operators.extracts import CustomerFilter
 from quaestor.plans.pipeline import run_pipeline
 from quaestor.plans.report import report
 from quaestor.sources.csv_tables import load_csv_tables
 from quaestor.sources.tables import (
-    LOAD_TIME_COLUMN, list_databases, list_tables, read_raw_tables, register_views, row_counts,
+    LOAD_TIME_COLUMN, describe_table, list_databases, list_tables, read_raw_tables, register_views, row_counts,
 )
 
 
@@ -45,9 +46,8 @@ class Store:
 def csv_load(spark: SparkSession, raw: Mapping[str, DataFrame], table: str) -> DataFrame:
     """A table after it was loaded from CSV in place of an empty one."""
     store = Store(spark)
-    own = {table: raw[table]}
-    load_csv_tables(spark, store.delivered({table: raw[table].limit(0)}, "empty"), store.database)
-    load_csv_tables(spark, store.delivered(own, "whole"), store.database)
+    for delivery, df in (("empty", raw[table].limit(0)), ("whole", raw[table])):
+        load_csv_tables(spark, store.delivered({table: df}, delivery), store.database, tables=[table])
     return read_raw_tables(spark, store.database)[table]
 
 
@@ -72,6 +72,16 @@ def catalogue(spark: SparkSession, raw: Mapping[str, DataFrame]) -> DataFrame:
     return listed.join(F.broadcast(known), "database").select("table_name", "table_type")
 
 
+def described(spark: SparkSession, raw: Mapping[str, DataFrame]) -> DataFrame:
+    """Columns, types and nullability of the loaded tables."""
+    store = Store(spark)
+    load_csv_tables(spark, store.delivered(raw, "whole"), store.database)
+    return stacked([
+        describe_table(df).select(F.lit(table).alias("table_name"), "*")
+        for table, df in read_raw_tables(spark, store.database).items()
+    ])
+
+
 def saved_mart(spark: SparkSession, raw: Mapping[str, DataFrame], company: str, as_of: str, mart: str) -> DataFrame:
     """A mart as the pipeline saved it."""
     store = Store(spark)
