@@ -46,8 +46,8 @@ def test_copies_do_not_fill_a_dictionary(spark):
 
 def test_numbers_that_are_no_digits_are_no_letters(spark):
     model = language_id.LanguageModel({"de": b"der hund", "en": b"the dog"})
-    assert [model.predict(t)[0] for t in ("½ ²", "Ⅷ", "①", "٣ _", "½ dog", "ªº")] == ["und"] * 4 + ["en", model.predict("ªº")[0]]
-    assert model.predict("ªº")[0] != "und"  # category Lo
+    assert [model.predict(t)[0] for t in ("½ ²", "Ⅷ", "①", "٣ _")] == ["und"] * 4
+    assert "und" not in [model.predict(t)[0] for t in ("½ dog", "ªº")]  # these hold letters
 
 
 def test_a_language_of_many_copies_is_learned_from_its_other_texts(spark, monkeypatch):
