@@ -22,16 +22,16 @@ Texts are known by 128 bits of hash and numbered; equal texts are one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quaestor.llm.common import map_arrow, small, text_of, written
 from quaestor.llm.components import components
+from quaestor.llm.pairs import BATCH_BYTES, arrow_bytes, beside, busy_texts, own_counts
 from quaestor.llm.partenum import in_parts, mix, shingle_sets
 
 WIDTH, PERCENT = 5, 85
@@ -41,10 +41,8 @@ CHECKED, BATCH = 128, 16
 MISS = 1e-6
 #: How often own elements are counted, each time among the texts that stayed.
 PEELS = 3
-#: Pairs of one text in a task, and members of a bucket's block.
-DEGREE, BLOCK = 256, 256
-#: Bytes of the pairs of full sets that a worker holds at once.
-BATCH_BYTES = "16m"
+#: Members of a bucket's block.
+BLOCK = 256
 
 HASHES = "h1", "h2"
 
@@ -141,33 +139,6 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
 
 
-@contextmanager
-def arrow_bytes(spark: SparkSession, limit: str):
-    """Arrow batches of at most so many bytes, or one row, in what runs inside."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, limit)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def beside(pairs: DataFrame, values: DataFrame, column: str, busy: DataFrame) -> DataFrame:
-    """Pairs (a, b) with a column of a and of b. Pairs of a busy text (k, parts) go to so many parts,
-    to each of which its row is copied."""
-    copied = values.join(busy, "k", "left").select(
-        "k", column, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
-    )
-    for side, other in ("ab", "ba"):
-        own = copied.select(F.col("k").alias(side), "part", F.col(column).alias(f"{column}_{side}"))
-        dealt = pairs.join(busy.withColumnRenamed("k", side), side, "left").withColumn(
-            "part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
-        )
-        pairs = dealt.drop("parts").join(own, [side, "part"]).drop("part")
-    return pairs
-
-
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (
@@ -187,9 +158,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link: by batches of the sketches first, then by full sets."""
     pairs = written(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("k")).unionAll(pairs.select("b"))
-    degrees = ends.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DEGREE)
-    busy = small(written(degrees.select("k", F.ceil(F.col("n") / DEGREE).cast("int").alias("parts"))))
+    busy = busy_texts(pairs)
     likely = written(map_arrow(beside(pairs, texts, "sketch", busy), _survivors, "a long, b long"))
     with arrow_bytes(pairs.sparkSession, BATCH_BYTES):
         return written(map_arrow(beside(likely, sets, "hashes", busy), _linked, "a long, b long"))
@@ -201,22 +170,6 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sets, pa.binary())], names=["k", "hashes"])
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
-            sets = [np.frombuffer(x.as_buffer(), "i8") for x in part.column("hashes")]
-            keys = np.repeat(part.column("k").to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(sets))], names=["k", "h"])
-
-
-def own_counts(sets: DataFrame) -> DataFrame:
-    """k, u: how many elements of a set no other one has."""
-    rows = map_arrow(sets, _elements, "k long, h long")
-    alone = rows.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("other")).filter("k = other")
-    return alone.groupBy("k").agg(F.count(F.lit(1)).alias("u"))
-
-
 def may_link(n_x: Column, u_x: Column, n_y: Column, u_y: Column) -> Column:
     """Own elements differ for sure, and so does what one set has more of the others."""
     differ = u_x + u_y + F.abs((n_x - u_x) - (n_y - u_y))

@@ -10,13 +10,13 @@ in one choice of n2 - k2 cells of a part, is shared by every two sets that link.
 A choice that is empty in a set would be shared by unrelated sets. A set with at most `spare` parts
 where that can happen leaves its empty signatures out: one of its good parts is none of them.
 
-A bucket holds the sets of one signature. Its members are compared with a pivot first, by parity
-sketches, which bound the difference from below, and then exactly. Buckets that are one component by
-then are done, so a group of near copies costs few comparisons a member. For texts in
-crowded buckets that are left, the elements that none of the others has are counted: they differ in
-every pair. A text with more than a fifth of them links with no other there, so documents that only
-share a passage drop out one by one; other pairs must fit by both counts. The rest is compared as
-before. Small buckets are paired as they are.
+A bucket holds the sets of one signature. An element that no other text in any bucket has differs in
+every pair. A text with more than a fifth of such own elements links with nothing and leaves; then
+others have more of them, so they are counted anew. In two turns the members of each bucket are
+compared with a pivot, by parity sketches, which bound the difference from below, and then exactly.
+Buckets that are one component by then are done, so a group of near copies costs few comparisons a
+member. Own elements are counted again among the texts that are left. Pairs of them across components
+are made in one of the buckets they share, if own elements and sizes allow the threshold.
 """
 
 from __future__ import annotations
@@ -29,16 +29,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quaestor.llm.common import map_arrow, small, text_key, text_of, written
 from quaestor.llm.components import components
+from quaestor.llm.pairs import BATCH_BYTES, arrow_bytes, beside, busy_texts, own_counts
 
 WIDTH = 5
-#: Rounds of comparing with pivots, and pivots of a group of copies in each.
-TURNS, PIVOTS = 2, 8
-#: Own elements are counted for the texts of buckets with more members than this.
-CROWD = 12
+#: Rounds of comparing with pivots, and how often own elements are counted before and after them.
+TURNS, PEELS = 2, 3
+#: Open signatures of a text that tell where a pair is made, and members of a bucket's block.
+MARKS, BLOCK = 32, 256
 #: Sampled texts, and how many of them must share a signature for its rows to be salted.
 SAMPLE_ROWS, HOT_ROWS, SALTS = 4_000, 80, 64
 PART_BYTES = 2_000_000
@@ -222,14 +223,14 @@ def shared(rows: DataFrame, hot: DataFrame) -> DataFrame:
 
 def may_link_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")]
+        columns = [pc.struct_field(batch.column(f"facts_{s}"), f).to_pylist() for f in ("sketch", "n") for s in "ab"]
         keep = pa.array([may_link(*row) for row in zip(*columns, strict=True)], pa.bool_())
         yield batch.select(["a", "b"]).filter(keep)
 
 
 def linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+        sets = zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True)
         keep = [linked(*(np.frombuffer(x.as_buffer(), "u8") for x in pair)) for pair in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -240,55 +241,78 @@ def set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sets, pa.binary())], names=["k", "hashes"])
 
 
-def element_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each element of a set."""
-    for part, found in in_parts(batches):
-        rows = shingle_sets(found, width)
-        keys = np.repeat(part.column("k").to_numpy(), [len(x) for x in rows])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.array(np.concatenate(rows).view("i8"))], names=["k", "h"]
-        )
+def bound(n_x: Column, u_x: Column, n_y: Column, u_y: Column) -> Column:
+    """Whether two sets may link: own elements differ for sure, and so does what one has more of the
+    others."""
+    return 9 * (u_x + u_y + F.abs((n_x - u_x) - (n_y - u_y))) <= n_x + n_y
 
 
-def own_elements(texts: DataFrame, width: int) -> DataFrame:
-    """k, u: how many elements of a set none of the other texts' sets has."""
-    rows = map_arrow(texts, lambda batches: element_rows(batches, width), "k long, h long")
-    alone = rows.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("other")).filter("k = other")
-    return alone.groupBy("k").agg(F.count(F.lit(1)).alias("u"))
+def peeled(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """k, n, u: own elements of the written texts (k, n), counted anew as those leave that have more
+    than a fifth of them. No such text links with another of them."""
+    for _ in range(PEELS):
+        own = own_counts(sets.join(small(texts.select("k")), "k", "left_semi"))
+        facts = texts.select("k", "n").join(own, "k", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        texts = written(facts.filter("5 * u <= n"))
+    return texts
 
 
-def both_sides(pairs: DataFrame, values: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Pairs (a, b) with columns of a and of b beside them."""
-    for side in "ab":
-        own = values.select(F.col("k").alias(side), *[F.col(c).alias(f"{n}_{side}") for c, n in names.items()])
-        pairs = pairs.join(own, side)
-    return pairs
+def compare(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link: by parity sketches first, then by full sets."""
+    pairs = written(pairs.distinct())
+    busy = busy_texts(pairs)
+    facts = info.select("k", F.struct("n", "sketch").alias("facts"))
+    with arrow_bytes(pairs.sparkSession, BATCH_BYTES):
+        close = written(map_arrow(beside(pairs, facts, "facts", busy), may_link_pairs, "a long, b long"))
+        return written(map_arrow(beside(close, sets, "hashes", busy), linked_pairs, "a long, b long"))
 
 
-def compare(pairs: DataFrame, info: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Those of the pairs (a, b) that link, exactly."""
-    sized = both_sides(pairs.distinct(), info, {"n": "n", "sketch": "sketch"}).filter(
-        100 * F.least("n_a", "n_b") >= 80 * F.greatest("n_a", "n_b")
+def stars(buckets: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot and its other members that may link. The first pivot is
+    the text with the least share of own elements, which links if any does."""
+    first = F.col("u") / F.col("n") if turn == 0 else F.xxhash64(F.lit(turn), "k")
+    pivots = (
+        buckets.groupBy("sig").agg(F.min(F.struct(first, "k", "n", "u")).alias("p"), F.count(F.lit(1)).alias("size"))
+        .filter("size > 1").select("sig", *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("k", "n", "u")])
     )
-    close = written(map_arrow(sized, may_link_pairs, "a long, b long"))
-    wanted = written(close.select(F.col("a").alias("k")).union(close.select("b")).distinct())
-    own = texts.join(small(wanted), "k", "left_semi")
-    sets = written(map_arrow(own, lambda batches: set_rows(batches, width), "k long, hashes binary"))
-    full = both_sides(close, sets.dropDuplicates(["k"]), {"hashes": "set"})
-    return written(map_arrow(full, linked_pairs, "a long, b long"))
+    rows = buckets.join(pivots, "sig").filter("k <> k_p").filter(bound(*(F.col(c) for c in ("n", "u", "n_p", "u_p"))))
+    return rows.select(F.least("k", "k_p").alias("a"), F.greatest("k", "k_p").alias("b"))
 
 
-def stars(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's pivot and its other members. Pivots are drawn by hash, PIVOTS
-    ways, so that the buckets of one group of copies have several, but not each its own."""
-    drawn = F.xxhash64(F.lit(turn), "k", F.pmod("sig", F.lit(PIVOTS)))
-    pivots = (
-        buckets.groupBy("sig")
-        .agg(F.min_by("k", drawn).alias("pivot"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-        .filter("lo <> hi").select("sig", "pivot")
+def across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (sig, k, n, u, root) of different components that may link.
+
+    One text of such a pair isn't in the bucket's main component. Where the MARKS smallest open
+    signatures of both have a common one, the pair is made in the bucket of the smallest such; else
+    in all buckets they share. Large buckets are cut into blocks, so no task has one alone.
+    """
+    sizes = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("sig").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("size"),
+        F.count(F.lit(1)).alias("roots"),
+    ).filter("roots > 1")
+    opened = written(
+        members.join(main.select("sig", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig")
+    )
+    marks = opened.groupBy("k").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, MARKS).alias("marks"))
+    placed = written(opened.join(marks, "k"))
+    columns = ("k", "n", "u", "root", "marks")
+    left = placed.filter("root <> main").select(
+        "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_x") for c in columns]
+    )
+    right = placed.select(
+        "sig", F.pmod(F.xxhash64("k"), "blocks").cast("int").alias("block"), (F.col("root") == F.col("main")).alias("in_main"),
+        *[F.col(c).alias(f"{c}_y") for c in columns],
     )
-    rows = buckets.join(pivots, "sig").filter("k <> pivot")
-    return rows.select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b"))
+    first = F.get(F.array_intersect("marks_x", "marks_y"), F.lit(0))
+    may = (
+        (F.col("root_x") != F.col("root_y"))
+        & (F.col("in_main") | (F.col("k_x") < F.col("k_y")))
+        & bound(*(F.col(c) for c in ("n_x", "u_x", "n_y", "u_y")))
+        & (F.coalesce(first, left["sig"]) == left["sig"])
+    )
+    found = left.join(right, (left["sig"] == right["sig"]) & (left["block"] == right["block"]) & may)
+    return found.select(F.least("k_x", "k_y").alias("a"), F.greatest("k_x", "k_y").alias("b"))
 
 
 def links(keyed: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -296,48 +320,24 @@ def links(keyed: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     texts = one_of_each(keyed)
     rows = written(shared(signed(texts, width), hot_signatures(texts, width)))
     info = rows.filter("n IS NOT NULL").select("k", "n", "sketch").dropDuplicates(["k"])
-    buckets = rows.filter("n IS NULL").select("sig", "k").distinct()
-    found, crowd = None, buckets
+    buckets = written(rows.filter("n IS NULL").select("sig", "k").distinct())
+    opened = small(written(buckets.select("k").distinct()))
+    own = texts.join(opened, "k", "left_semi")
+    sets = written(map_arrow(own, lambda batches: set_rows(batches, width), "k long, hashes binary").dropDuplicates(["k"]))
+    alive = peeled(written(info.select("k", "n").join(opened, "k", "left_semi")), sets)
+    crowd, found = written(buckets.join(small(alive), "k")), None
     for turn in range(TURNS):
-        new = compare(stars(crowd, turn), info, texts, width)
+        new = compare(stars(crowd, turn), info, sets)
         found = new if found is None else found.union(new)
         groups = small(written(components(found).withColumnRenamed("node", "k")))
-        members = crowd.join(groups, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root"))
-        unlike = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        members = written(members.join(unlike.filter("lo <> hi").select("sig"), "sig", "left_semi"))
-        crowd = members.select("sig", "k")
-    members = members.join(members.groupBy("sig").agg((F.count(F.lit(1)) > CROWD).alias("crowd")), "sig")
-    open_texts = small(written(members.filter("crowd").select("k").distinct()))
-    own = own_elements(texts.join(open_texts, "k", "left_semi"), width)
-    facts = small(written(
-        open_texts.join(info.select("k", "n"), "k").join(own, "k", "left")
-        .select("k", "n", F.coalesce("u", F.lit(0)).alias("u"))
-    ))
-    # Counted against texts in crowded buckets, own elements rule out pairs there only. With more
-    # than a fifth of such elements, a text links with none of them.
-    few = members.filter("NOT crowd").select("sig", "k", "root", F.lit(0).alias("n"), F.lit(0).cast("long").alias("u"))
-    many = members.filter("crowd").join(facts, "k").filter("5 * u <= n").select("sig", "k", "root", "n", "u")
-    members = written(few.union(many))
-    main = (
-        members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"))
-        .groupBy("sig").agg(F.max_by("root", "size").alias("main"), F.count(F.lit(1)).alias("roots"))
-        .filter("roots > 1").select("sig", "main")
-    )
-    # every pair of two components has one text that is not in the bucket's main component
-    placed = written(members.join(main, "sig"))
-    left = placed.filter("root <> main").select(
-        "sig", F.col("k").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("u").alias("u_x")
-    )
-    right = placed.select(
-        F.col("sig").alias("sig_y"), F.col("k").alias("y"), F.col("root").alias("root_y"),
-        F.col("n").alias("n_y"), F.col("u").alias("u_y"),
-    )
-    # own elements differ for sure, and so does what one set has more of the others
-    differ = F.col("u_x") + F.col("u_y") + F.abs(F.col("n_x") - F.col("u_x") - F.col("n_y") + F.col("u_y"))
-    may = (F.col("root_x") != F.col("root_y")) & (9 * differ <= F.col("n_x") + F.col("n_y"))
-    across = left.join(right, (F.col("sig") == F.col("sig_y")) & may)
-    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return info.select("k", "n"), found.union(compare(pairs, info, texts, width))
+        members = crowd.join(groups, "k", "left").select("sig", "k", "n", "u", F.coalesce("root", "k").alias("root"))
+        unlike = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        members = written(members.join(unlike.select("sig"), "sig", "left_semi"))
+        crowd = members.drop("root")
+    # counted among the texts that are left, more elements are own ones
+    rest = peeled(written(members.select("k", "n").distinct()), sets)
+    members = written(members.select("sig", "k", "root").join(small(rest), "k"))
+    return info.select("k", "n"), found.union(compare(across(members), info, sets))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:

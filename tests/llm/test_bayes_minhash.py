@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import plain
-from quaestor.llm import bayes_minhash
+from quaestor.llm import bayes_minhash, pairs
 from test_partenum import corpus
 
 
@@ -42,7 +42,7 @@ def test_components_as_all_pairs(spark, seed):
 
 def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(bayes_minhash, "BLOCK", 16)
-    monkeypatch.setattr(bayes_minhash, "DEGREE", 8)
+    monkeypatch.setattr(pairs, "DEGREE", 8)
     docs = edited(5, 150)
     found = run(spark, docs)
     assert found == expected(docs)

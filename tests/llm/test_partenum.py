@@ -37,13 +37,28 @@ def test_components_as_all_pairs(spark):
     assert len({c for _, c in expected.values()}) < len(docs) - 40
 
 
-def test_own_elements_rule_out_no_link(spark, monkeypatch):
-    """All buckets count as crowded."""
-    monkeypatch.setattr(partenum, "CROWD", 1)
+def test_blocks_marks_and_own_elements_rule_out_no_link(spark, monkeypatch):
+    """Buckets of many blocks, marks that often have nothing in common, one turn of pivots."""
+    monkeypatch.setattr(partenum, "BLOCK", 2)
+    monkeypatch.setattr(partenum, "MARKS", 1)
+    monkeypatch.setattr(partenum, "TURNS", 1)
     docs = corpus(4, 160, 60)
     assert run(spark, docs) == plain.near_duplicates(docs)
 
 
+def test_edited_copies_of_one_text(spark):
+    """Two hundred texts with edits from few words, their similarities around the threshold."""
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    docs = []
+    for i in range(200):
+        own = list(base)
+        for _ in range(draw.randrange(0, 5)):
+            own[draw.randrange(len(own))] = f"e{draw.randrange(6)}"
+        docs.append((i, " ".join(own)))
+    assert run(spark, docs) == plain.near_duplicates(docs)
+
+
 def test_sets_that_link_share_a_signature_and_pass_the_sketch():
     draw = np.random.default_rng(1)
     for size in [*range(1, 60), 75, 100, 150, 250, 400, 700, 1500]:
