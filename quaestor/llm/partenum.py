@@ -10,13 +10,13 @@ in one choice of n2 - k2 cells of a part, is shared by every two sets that link.
 A choice that is empty in a set would be shared by unrelated sets. A set with at most `spare` parts
 where that can happen leaves its empty signatures out: one of its good parts is none of them.
 
-A bucket holds the sets of one signature. An element that no other text in any bucket has differs in
-every pair. A text with more than a fifth of such own elements links with nothing and leaves; then
-others have more of them, so they are counted anew. In two turns the members of each bucket are
-compared with a pivot, by parity sketches, which bound the difference from below, and then exactly.
-Buckets that are one component by then are done, so a group of near copies costs few comparisons a
-member. Own elements are counted again among the texts that are left. Pairs of them across components
-are made in one of the buckets they share, if own elements and sizes allow the threshold.
+A bucket holds the sets of one signature. In two turns its members are compared with a pivot, by parity
+sketches, which bound the difference from below, and then exactly. Buckets that are one component by
+then are done, so a group of near copies costs few comparisons a member. For texts in crowded buckets
+that are left, the elements that none of the others has are counted: they differ in every pair. A text
+with more than a fifth of them links with no other there and leaves; then others have more of them, so
+they are counted anew. Pairs across components are made in one of the buckets they share, if own
+elements and sizes allow the threshold.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ from quaestor.llm.components import components
 from quaestor.llm.pairs import BATCH_BYTES, arrow_bytes, beside, busy_texts, own_counts
 
 WIDTH = 5
-#: Rounds of comparing with pivots, and how often own elements are counted before and after them.
-TURNS, PEELS = 2, 3
+#: Rounds of comparing with pivots, and pivots of a group of copies in each.
+TURNS, PIVOTS = 2, 8
+#: Own elements are counted, so often, for the texts of buckets with more members than this.
+CROWD, PEELS = 12, 3
 #: Open signatures of a text that tell where a pair is made, and members of a bucket's block.
 MARKS, BLOCK = 32, 256
 #: Sampled texts, and how many of them must share a signature for its rows to be salted.
@@ -268,14 +270,15 @@ def compare(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def stars(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's pivot and its other members that may link. The first pivot is
-    the text with the least share of own elements, which links if any does."""
-    first = F.col("u") / F.col("n") if turn == 0 else F.xxhash64(F.lit(turn), "k")
+    """Pairs (a, b) of each bucket's pivot and its other members of sizes that may link. Pivots are
+    drawn by hash, PIVOTS ways, so that the buckets of one group of copies have several, but not each
+    its own."""
+    drawn = F.xxhash64(F.lit(turn), "k", F.pmod("sig", F.lit(PIVOTS)))
     pivots = (
-        buckets.groupBy("sig").agg(F.min(F.struct(first, "k", "n", "u")).alias("p"), F.count(F.lit(1)).alias("size"))
-        .filter("size > 1").select("sig", *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("k", "n", "u")])
+        buckets.groupBy("sig").agg(F.min(F.struct(drawn, "k", "n")).alias("p"), F.count(F.lit(1)).alias("size"))
+        .filter("size > 1").select("sig", F.col("p.k").alias("k_p"), F.col("p.n").alias("n_p"))
     )
-    rows = buckets.join(pivots, "sig").filter("k <> k_p").filter(bound(*(F.col(c) for c in ("n", "u", "n_p", "u_p"))))
+    rows = buckets.join(pivots, "sig").filter("k <> k_p AND 100 * least(n, n_p) >= 80 * greatest(n, n_p)")
     return rows.select(F.least("k", "k_p").alias("a"), F.greatest("k", "k_p").alias("b"))
 
 
@@ -324,19 +327,22 @@ def links(keyed: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     opened = small(written(buckets.select("k").distinct()))
     own = texts.join(opened, "k", "left_semi")
     sets = written(map_arrow(own, lambda batches: set_rows(batches, width), "k long, hashes binary").dropDuplicates(["k"]))
-    alive = peeled(written(info.select("k", "n").join(opened, "k", "left_semi")), sets)
-    crowd, found = written(buckets.join(small(alive), "k")), None
+    crowd, found = written(buckets.join(info.select("k", "n"), "k")), None
     for turn in range(TURNS):
         new = compare(stars(crowd, turn), info, sets)
         found = new if found is None else found.union(new)
         groups = small(written(components(found).withColumnRenamed("node", "k")))
-        members = crowd.join(groups, "k", "left").select("sig", "k", "n", "u", F.coalesce("root", "k").alias("root"))
+        members = crowd.join(groups, "k", "left").select("sig", "k", "n", F.coalesce("root", "k").alias("root"))
         unlike = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
         members = written(members.join(unlike.select("sig"), "sig", "left_semi"))
         crowd = members.drop("root")
-    # counted among the texts that are left, more elements are own ones
-    rest = peeled(written(members.select("k", "n").distinct()), sets)
-    members = written(members.select("sig", "k", "root").join(small(rest), "k"))
+    large = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CROWD).select("sig")
+    crowded = written(members.join(large, "sig", "left_semi"))
+    few = members.join(large, "sig", "left_anti").withColumn("u", F.lit(0).cast("long"))
+    # counted among texts of crowded buckets, own elements rule out pairs there only
+    rest = peeled(written(crowded.select("k", "n").distinct()), sets)
+    many = crowded.select("sig", "k", "root").join(small(rest), "k")
+    members = written(few.unionByName(many))
     return info.select("k", "n"), found.union(compare(across(members), info, sets))
 
 

@@ -38,7 +38,8 @@ def test_components_as_all_pairs(spark):
 
 
 def test_blocks_marks_and_own_elements_rule_out_no_link(spark, monkeypatch):
-    """Buckets of many blocks, marks that often have nothing in common, one turn of pivots."""
+    """All buckets are crowded and of many blocks, marks often have nothing in common, one turn of pivots."""
+    monkeypatch.setattr(partenum, "CROWD", 1)
     monkeypatch.setattr(partenum, "BLOCK", 2)
     monkeypatch.setattr(partenum, "MARKS", 1)
     monkeypatch.setattr(partenum, "TURNS", 1)
