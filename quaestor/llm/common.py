@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder all executors share: the session's `spark.checkpoint.dir`.
 
-    Only where that is unset, as in a local session, a folder of our own is taken.
+    Only where that is unset in a local session, a folder of our own is taken.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
