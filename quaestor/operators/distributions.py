@@ -23,9 +23,13 @@ def bin_edge(low: Column, high: Column, bins: int, index: Column) -> Column:
 def binned(
     rows: DataFrame, low: Column, high: Column, bins: int, groups: Sequence[str] = ()
 ) -> DataFrame:
-    """`groups`, `bin` and the number `n` of values `v` of each bin that has any."""
+    """`groups`, `bin` and the number `n` of values `v` of each bin that has any.
+
+    Of bins without width the last one, which also holds its upper edge, has all values.
+    """
     width = (high - low) / F.lit(float(bins))
-    first_guess = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("long")
+    place = F.floor(F.try_divide(F.col("v") - low, width))
+    first_guess = F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(bins - 1)).cast("long")
     guess = F.col("guess")
     settled = (
         F.when(F.col("v") < low + guess * width, guess - 1)

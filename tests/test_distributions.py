@@ -101,6 +101,21 @@ def test_histogram_is_numpys(spark, values, bins):
     assert [r.bin_start for r in rows] + [rows[-1].bin_end] == pytest.approx(edges.tolist())
 
 
+def test_profile_of_a_constant_column_is_that_of_its_sql(spark):
+    import duckdb
+
+    from quaestor.verification.oracles import _histogram
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT * FROM (VALUES (7.5::DOUBLE, 1::BIGINT), (7.5, 4), (NULL, 9)) AS v(same, other)")
+    df = spark.createDataFrame([(7.5, 1), (7.5, 4), (None, 9)], "same double, other long")
+    rows = profile.profile_histograms({"t": df}, 5).orderBy("column_name", "bin").collect()
+    got = [(r.column_name, r.bin, r.bin_start, r.bin_end, r.n) for r in rows]
+    expected = [(c, *r) for c in ("other", "same") for r in con.execute(f"{_histogram('t', c, 5)} ORDER BY bin").fetchall()]
+    assert got == expected
+    assert [n for c, *_, n in got if c == "same"] == [0, 0, 0, 0, 2]
+
+
 def test_log_histogram_drops_what_has_no_logarithm(spark):
     values = [0, -5, 1, 10, 100, 1000, None]
     rows = distributions.log_histogram(frame(spark, values), "x", 3).orderBy("bin").collect()
