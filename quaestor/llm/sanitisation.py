@@ -30,6 +30,9 @@ KINDS = (*PATTERNS, "term")
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
+# Around a term, which is the end of a run of letters and digits from its first letter on. The class
+# has a letter beyond 16 bits, as Java looks behind by whole code points only if a pattern holds one.
+BEFORE, AFTER = "(?<![\\p{L}\\p{N}\U00010000])\\p{N}*+(?:", r")(?![\p{L}\p{N}])"
 
 SUPPORT = 3
 GENERALISE = 0.75
@@ -58,12 +61,15 @@ def running_totals(lengths: Column) -> Column:
             ),
         )
 
-    starts = F.sequence(F.lit(1), F.size(lengths), F.lit(_BLOCK))
-    blocks = F.transform(starts, lambda i: sums(F.slice(lengths, i, _BLOCK)))
-    return F.when(F.size(lengths) > 0, let(blocks, joined)).otherwise(F.array().cast("array<bigint>"))
+    def totals(own: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(own), F.lit(_BLOCK))
+        blocks = F.transform(starts, lambda i: sums(F.slice(own, i, _BLOCK)))
+        return F.when(F.size(own) > 0, let(blocks, joined)).otherwise(F.array().cast("array<bigint>"))
 
+    return let(lengths, totals)
 
-def matches(text: Column, pattern: str) -> Column:
+
+def matches(text: Column, pattern: str | Column) -> Column:
     """start, end, value of each match, leftmost first, in code points."""
 
     def placed(hits: Column) -> Column:
@@ -233,18 +239,22 @@ def all_spans(docs: DataFrame) -> DataFrame:
     place = ["doc_id", "doc_key"]
     found = written(entities(docs))
     revealing = small(written(disclosures(docs, found).groupBy("term").agg(F.max("disclosure").alias("disclosure"))))
+    # explode_outer as in entities()
+    placed = keyed(docs).select(*place, "whole", F.explode_outer(F.array(base_spans(F.col("whole")))).alias("base"))
+    words = F.array_distinct(F.regexp_extract_all(blanked(F.col("whole"), F.col("base")), F.lit(TERM), F.lit(0)))
     holding = small(written(
-        keyed(docs).select(*place, F.explode_outer(terms_of(F.col("whole"))).alias("term")).join(revealing, "term")
-        .select(F.col("doc_id").alias("holding_id"), F.col("doc_key").alias("holding_key")).distinct()
+        placed.select(*place, F.explode_outer(words).alias("word")).withColumn("term", F.lower("word"))
+        .join(revealing, "term").groupBy(F.col("doc_id").alias("holding_id"), F.col("doc_key").alias("holding_key"))
+        .agg(F.array_join(F.collect_set("word"), "|").alias("words"))
     ))
-    texts = keyed(docs)
-    same = texts["doc_id"].eqNullSafe(holding["holding_id"]) & (texts["doc_key"] == holding["holding_key"])
-    placed = texts.join(holding, same, "left_semi").select(
-        *place, "whole", F.explode_outer(F.array(base_spans(F.col("whole")))).alias("base")
-    )
+    same = placed["doc_id"].eqNullSafe(holding["holding_id"]) & (placed["doc_key"] == holding["holding_key"])
+    # only what a text holds is looked for, so that no other word needs a position
+    pattern = F.concat(F.lit(BEFORE), "words", F.lit(AFTER))
+    word = F.regexp_replace("m.value", r"^\p{N}+", "")
     hidden = (
-        placed.select(*place, F.explode_outer(matches(blanked(F.col("whole"), F.col("base")), TERM)).alias("m"))
-        .select(*place, F.lower("m.value").alias("term"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+        placed.join(holding, same)
+        .select(*place, F.explode_outer(matches(blanked(F.col("whole"), F.col("base")), pattern)).alias("m"))
+        .select(*place, F.lower(word).alias("term"), (F.col("m.end") - F.length(word)).alias("start"), F.col("m.end").alias("end"))
         .join(revealing, "term").distinct()
         .select(*place, F.lit(len(KINDS) - 1).alias("kind"), "start", "end", "disclosure")
     )

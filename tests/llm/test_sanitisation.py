@@ -80,3 +80,25 @@ def test_revealing_terms_go_wherever_they_stand(spark):
     assert spans(50, rows[8][1]) == [("term", "Zanzibar")] and "Zanzibar" not in found[50].sanitised_text
     assert spans(51, rows[9][1]) == [("email", "zanzibar@c.de")]
     assert found[100].spans == []
+
+
+def test_terms_beside_personal_data_and_in_odd_runs(spark):
+    """A term that ends where personal data begins; runs with digits first, other case, and letters beyond 16 bits."""
+    far = "in the town we write to the office at noon " * 6
+    rows = [(i, f"Zanzibar {far} a0@b.co", i) for i in range(8)]
+    cut = "see Zanzibar4111111111111111 now"
+    odd = "12Zanzibar ZANZIBAR zanzibars 3a4zanzibar 𐀀Zanzibar Zanzibar𐀀 _Zanzibar_ zan Zanzibar"
+    rows += [(50, cut, 0), (51, odd, 0)] + [(100 + i, far, 0) for i in range(990)]
+    found = {r.doc_id: r for r in san.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(san.KINDS[s.kind], cut[s.start : s.end]) for s in found[50].spans] == [("card", "4111111111111111"), ("term", "Zanzibar")]
+    assert [(s.start, odd[s.start : s.end]) for s in found[51].spans] == [
+        (2, "Zanzibar"), (11, "ZANZIBAR"), (odd.index("_Z") + 1, "Zanzibar"), (len(odd) - 8, "Zanzibar"),
+    ]
+
+
+def test_positions_are_taken_for_revealing_terms_only(spark, monkeypatch):
+    taken = []
+    own = san.matches
+    monkeypatch.setattr(san, "matches", lambda text, pattern: taken.append(pattern) or own(text, pattern))
+    san.all_spans(spark.createDataFrame([(1, "call a@b.co", 0)], SCHEMA))
+    assert san.TERM not in [p for p in taken if isinstance(p, str)]
