@@ -5,9 +5,12 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -67,6 +70,17 @@ def ship_package(context: SparkContext) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `size` bytes, one row at least."""
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("f8")))
+    start = 0
+    while start < len(texts):
+        done = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + size, side="right")))
+        yield start, end
+        start = end
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
     """mapInArrow, where executors know this package."""
     ship_package(df.sparkSession.sparkContext)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quaestor.llm.common import map_arrow
+from quaestor.llm.common import map_arrow, slices
 
 SAMPLE_ROWS = 5_000
 SAMPLE_CHARS = 50_000
@@ -38,6 +38,7 @@ HIDDEN = 32
 EPOCHS = 60
 THRESHOLD = 0.3
 PART_CHARS = 250_000
+BATCH_CHARS = 1_000_000
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SHAPES = ("<lower>", "<capitalised>", "<upper>", "<mixed>", "<number>", "<punctuation>")
@@ -248,10 +249,12 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
         own = shared.value
         terms = Terms(own.terms or {})
         for batch in batches:
-            found = own.scores(batch.column(place).to_pylist(), terms)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype("i4"))],
-                names=[*batch.schema.names, "score", "predicted"],
-            )
+            for start, end in slices(batch.column(place), BATCH_CHARS):
+                part = batch.slice(start, end - start)
+                found = own.scores(part.column(place).to_pylist(), terms)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype("i4"))],
+                    names=[*part.schema.names, "score", "predicted"],
+                )
 
     return map_arrow(kept, run, T.StructType([*kept.schema.fields, *new]))

@@ -19,8 +19,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = sentencepiece_viterbi.encode_documents(docs, MODEL_FILE)
-    decoded = sentencepiece_viterbi.decode_documents(encoded, MODEL_FILE)
+    decoded = sentencepiece_viterbi.encode_documents(docs, MODEL_FILE, decoded="decoded")
     return decoded.select(
         "doc_id", "n_tokens", "token_ids", (F.col("decoded") == F.col("text")).alias("round_trip")
     )

@@ -23,11 +23,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 from sentencepiece import SentencePieceProcessor
 
-from quaestor.llm.common import map_arrow
+from quaestor.llm.common import map_arrow, slices
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -234,35 +233,28 @@ def model_bytes(model_file: str) -> bytes:
         return f.read()
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about BATCH_CHARS bytes, one row at least."""
-    sizes = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("f8")))
-    start = 0
-    while start < len(texts):
-        done = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, done + BATCH_CHARS, side="right")))
-        yield start, end
-        start = end
-
-
-def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, decoded: str | None = None) -> DataFrame:
     """The documents with token_ids, array<int>, and n_tokens, long.
 
     An empty text has no ids, a null text null ids and n_tokens. Whole texts are encoded; one text,
     however long, is in memory at once. Every row is handled for itself, so repeated rows come out
-    alike. Columns named token_ids or n_tokens are replaced, others kept.
+    alike. Columns named token_ids or n_tokens are replaced, others kept. `decoded` names a further
+    column for the text of the ids, as `decode_documents` gives it, made by the same workers.
     """
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_file))
-    kept = docs.drop("token_ids", "n_tokens")
+    texts_again = [decoded] if decoded else []
+    kept = docs.drop("token_ids", "n_tokens", *texts_again)
     place = kept.columns.index("text")
     schema = T.StructType(
-        [*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+        [*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
+         *[T.StructField(name, T.StringType()) for name in texts_again]]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(model.value).encode
+        own = encoder(model.value)
+        encode = own.encode
         for batch in batches:
-            for start, end in slices(batch.column(place)):
+            for start, end in slices(batch.column(place), BATCH_CHARS):
                 part = batch.slice(start, end - start)
                 texts = part.column(place).to_pylist()
                 ids = encode([t or "" for t in texts])
@@ -273,8 +265,12 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
                     mask=pa.array(null),
                 )
                 counts = pa.array(np.diff(ends), pa.int64(), mask=null)
+                again = []
+                if decoded:
+                    back = [None if t is None else own.decode(np.frombuffer(i, "i4").tolist()) for t, i in zip(texts, ids)]
+                    again = [pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, lists, counts], names=[*part.schema.names, "token_ids", "n_tokens"]
+                    [*part.columns, lists, counts, *again], names=[*part.schema.names, "token_ids", "n_tokens", *texts_again]
                 )
 
     return map_arrow(kept, run, schema)

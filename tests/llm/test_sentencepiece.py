@@ -7,7 +7,8 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
-from quaestor.llm import sentencepiece_viterbi as sp
+from conftest import TESTDATA
+from quaestor.llm import queries, sentencepiece_viterbi as sp
 from quaestor.llm.queries import MODEL_FILE
 
 
@@ -94,3 +95,12 @@ def test_documents_with_nulls_copies_and_clashing_columns(spark):
 def test_ids_of_no_piece_decode_to_null(spark):
     df = spark.createDataFrame([([10**6],), ([-1],), (None,), ([],)], "token_ids array<int>")
     assert [r.decoded for r in sp.decode_documents(df, MODEL_FILE).collect()] == [None, None, None, ""]
+
+
+def test_ids_and_their_text_from_one_pass(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None])], "doc_id long, text string")
+    both = sp.encode_documents(docs, MODEL_FILE, decoded="again")
+    steps = sp.decode_documents(sp.encode_documents(docs, MODEL_FILE), MODEL_FILE, "again")
+    assert both.orderBy("doc_id").collect() == steps.orderBy("doc_id").collect()
+    plan = queries.op1_sentencepiece(spark, str(TESTDATA / "sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
