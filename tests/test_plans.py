@@ -134,6 +134,12 @@ def test_a_customer_with_most_policies_is_split_over_tasks(spark, joins_stay_shu
     assert one.num_polizze_totali == polizze.filter("codice_cliente = 1").count()
 
 
+def test_policy_facts_are_joined_without_a_sort(joins_stay_shuffled, saved):
+    plan = plan_of(models.fact_policies(saved["plain"]["stg_polizze"], saved["plain"]["stg_clienti"], samples.AS_OF))
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan
+    assert "Sort" not in plan
+
+
 def test_top_values_are_cut_before_the_shuffle(saved):
     plan = plan_of(profile.profile_top_values({"t": saved["plain"]["stg_polizze"]}))
     assert "WindowGroupLimit" in plan and "Partial" in plan
