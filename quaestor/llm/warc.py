@@ -191,7 +191,7 @@ def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: record_id, response (or revisit), request and metadata, each nested.
 
     Records that were read twice count once. A capture without a request or metadata has null
-    there; those of no capture are left out.
+    there; those of no capture are left out. Records may come without their payload.
     """
     captures = records.filter(F.col("record_type").isin("response", "revisit")).dropDuplicates(["record_id"])
 
@@ -201,9 +201,8 @@ def assemble(records: DataFrame) -> DataFrame:
             F.col("concurrent_to").alias("capture"), F.struct("record_id", *columns).alias(kind)
         )
 
-    answer = F.struct(
-        "record_type", "target_uri", "payload_digest", "payload_bytes", "payload", "intact", "refers_to"
-    ).alias("response")
+    parts = ("record_type", "target_uri", "payload_digest", "payload_bytes", "payload", "intact", "refers_to")
+    answer = F.struct(*[c for c in parts if c in records.columns]).alias("response")
     rows = captures.select("record_id", answer)
     for other in (others("request", "target_uri"), others("metadata", "target_uri", "fields")):
         rows = rows.join(other, rows["record_id"] == other["capture"], "left").drop("capture")
@@ -217,9 +216,11 @@ def captures_of(pages: DataFrame, folder: str | None = None) -> DataFrame:
     A null html is an empty payload, a null url leaves the address out. A null page_id is smaller than
     all. Rows that repeat id, url and html are one capture, as are those that repeat id and html of a
     response. Other columns are ignored.
+
+    Archives are read once for all but the payloads, and once more only where these are asked for.
     """
-    spark = pages.sparkSession
-    rows = assemble(read_records(spark, write_archives(pages, folder)))
+    records = read_records(pages.sparkSession, write_archives(pages, folder))
+    rows = assemble(written(records.drop("payload")))
     named = rows.withColumn("page_id", F.col("metadata.fields")["page_id"].try_cast("long"))
     responses = named.filter("response.record_type = 'response'").select(
         F.col("record_id").alias("response_id"), F.col("page_id").alias("referred")
@@ -227,7 +228,11 @@ def captures_of(pages: DataFrame, folder: str | None = None) -> DataFrame:
     # what refers to nothing has a key of its own, or all of it would meet in one task
     refers = F.coalesce("response.refers_to", F.concat(F.lit("-"), F.col("record_id")))
     joined = named.join(responses, refers == F.col("response_id"), "left")
-    return joined.select(
+    # one row an id, so Spark leaves this join out where the payload isn't selected
+    payloads = records.filter("record_type = 'response'").dropDuplicates(["record_id"]).select(
+        F.col("record_id").alias("payload_id"), "payload"
+    )
+    return joined.join(payloads, joined["record_id"] == F.col("payload_id"), "left").select(
         "page_id", "response.record_type", "response.payload_digest", "response.payload_bytes",
-        F.col("referred").alias("refers_to"), "response.payload", "response.intact",
+        F.col("referred").alias("refers_to"), "payload", "response.intact",
     )

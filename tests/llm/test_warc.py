@@ -65,5 +65,12 @@ def test_damage_is_noticed():
         list(warc.parse(gzip.compress(b"nothing")))
 
 
+def test_archives_are_parsed_again_for_payloads_only(spark):
+    found = warc.captures_of(spark.createDataFrame([(1, "u", "x"), (2, "v", "x")], SCHEMA))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(found).count("MapInArrow") == 1
+    assert "MapInArrow" not in plan(found.drop("payload", "intact"))
+
+
 def test_no_pages(spark):
     assert warc.captures_of(spark.createDataFrame([], SCHEMA)).count() == 0
