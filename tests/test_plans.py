@@ -10,6 +10,7 @@ from quaestor.operators import distributions, profile, quantiles
 from quaestor.operators.quantiles import exact_quantiles
 from quaestor.operators.staging import stage, stage_all
 from quaestor.plans import analyses, models
+from quaestor.sources.binding import raw_table
 from quaestor.sources.tables import save_table
 from quaestor.verification.queries import queries
 
@@ -140,6 +141,12 @@ def test_policy_facts_are_joined_without_a_sort(joins_stay_shuffled, saved):
     assert "Sort" not in plan
 
 
+def test_claims_are_bound_without_a_sort(spark, joins_stay_shuffled):
+    plan = plan_of(raw_table(spark, FOLDER, "sinistri"))
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan
+    assert "Sort" not in plan
+
+
 def test_top_values_are_cut_before_the_shuffle(saved):
     plan = plan_of(profile.profile_top_values({"t": saved["plain"]["stg_polizze"]}))
     assert "WindowGroupLimit" in plan and "Partial" in plan
