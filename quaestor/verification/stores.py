@@ -37,9 +37,9 @@ class Store:
             spark.sql(f"CREATE DATABASE {name} LOCATION '{self.folder}/{name}'")
 
     def delivered(self, tables: Mapping[str, DataFrame], delivery: str) -> str:
-        """The folder of a delivery: a CSV with header per table."""
+        """The folder of a delivery: a compressed CSV with header per table."""
         for name, df in tables.items():
-            df.write.csv(f"{self.folder}/{delivery}/{name}.csv", header=True, escape='"')
+            df.write.csv(f"{self.folder}/{delivery}/{name}.csv", header=True, escape='"', compression="snappy")
         return f"{self.folder}/{delivery}"
 
 

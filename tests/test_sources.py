@@ -1,5 +1,6 @@
 import logging
 import math
+from pathlib import Path
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -9,6 +10,7 @@ import samples
 from quaestor.schemas import RAW_TABLES, raw_schema
 from quaestor.sources import tables
 from quaestor.sources.csv_tables import load_csv_tables, read_csv_table
+from quaestor.verification.stores import Store
 
 STOPPED = (PySparkException, Py4JJavaError)
 
@@ -48,6 +50,19 @@ def test_load_replaces_or_keeps_and_skips_missing_files(spark, tmp_path, databas
     assert spark.table(f"{database}.sinistri").count() == 1
 
 
+def test_deliveries_are_compressed_and_load_whole(spark):
+    store = Store(spark)
+    rows = samples.raw_frame(spark, "abitazioni", samples.HOMES)
+    folder = store.delivered({"abitazioni": rows}, "whole")
+    files = [f.name for f in Path(folder.removeprefix("file:"), "abitazioni.csv").glob("part-*")]
+    assert files and all(name.endswith(".csv.snappy") for name in files)
+    assert load_csv_tables(spark, folder, store.database, tables=["abitazioni"]) == ["abitazioni"]
+    got = spark.table(f"{store.database}.abitazioni").collect()
+    assert sorted(map(str, got)) == sorted(map(str, rows.collect()))
+    for name in (store.database, f"{store.database}_marts"):
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 def test_wrong_header_stops_the_load(spark, tmp_path):
     (tmp_path / "reclami.csv").write_text("Prodotto,codice_cliente,Area di Bisogno,Reclami_e_info\na,1,b,c\n")
     with pytest.raises(STOPPED, match="CSV header does not conform"):
