@@ -3,19 +3,20 @@
 Nearness is the inner product. Every vector gets one more component that makes all equally long,
 queries a zero, so the nearest by angle is the one with the largest product. Trees are fitted on a
 bounded sample: a node's hyperplane lies between two means that grow from two random vectors, its
-threshold at the median. Every vector is then filed in one leaf of each tree. A query walks all
-trees from one shared priority queue, by the squared distances to the planes it crosses, until its
-leaves hold SHARE of the sample, LEAST rows at least; the leaves' candidates are ranked exactly.
+threshold at the median. Every vector is then filed in one leaf of each tree. A query takes the
+leaves of all trees in one order, by the squared distances to the planes it crosses, until they
+hold SHARE of the sample, LEAST rows at least; the leaves' candidates are ranked exactly. That is
+the order of a priority queue shared by the trees, found for a batch of queries by sums per level.
 
 Of equal vectors only the K + 1 smallest ids can be among anyone's K nearest, as ties go to the
 smaller id, so the rest is left out at no loss, and equal vectors don't fill a leaf. Leaves meet
-their queries in cells of about CELL_ROWS vectors and QUERY_ROWS queries. A candidate goes on only
-if it is not below the K + 1 nearest sampled ones in the query's leaves: those are found anyway.
+their queries in cells of about CELL_ROWS vectors and QUERY_ROWS queries, where a leaf is compared
+with the queries that visit it only. A candidate goes on only if it is not below the K + 1 nearest
+sampled ones in the query's leaves: those are found anyway.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,9 @@ SAMPLE_ROWS = 20_000
 LEAF_ROWS = 32
 CELL_ROWS = 4_096
 QUERY_ROWS = 10_000
+ROUTE_ROWS = 500  # queries of a routing task
+BATCH_ROWS = 64  # queries routed at once
+PAIRS = 1 << 18  # compared at once
 SHARE = 0.5
 LEAST = 2_000
 
@@ -43,7 +47,7 @@ class Tree:
     limits: np.ndarray
     children: np.ndarray
     cells: np.ndarray  # of each leaf
-    members: list[np.ndarray]  # rows of the sample in each leaf
+    leaf_of: np.ndarray  # of each row of the sample
 
     def leaves(self, rows: np.ndarray) -> np.ndarray:
         """Leaf of every row, a level at a time."""
@@ -58,6 +62,20 @@ class Tree:
             open_ = open_[at[open_] >= 0]
         return ~at
 
+    def distances(self, queries: np.ndarray) -> np.ndarray:
+        """(leaf, query): squared distances to the planes crossed on the way, summed up."""
+        n = len(self.children)
+        far = np.zeros((n + len(self.cells), len(queries)))
+        nodes = np.arange(min(n, 1))
+        while len(nodes):
+            margins = (self.planes[nodes] @ queries.T - self.limits[nodes, None]).astype("f8")
+            below = self.children[nodes]
+            left, right = np.where(below < 0, n + ~below, below).T
+            far[left] = far[nodes] + np.maximum(margins, 0) ** 2
+            far[right] = far[nodes] + np.minimum(margins, 0) ** 2
+            nodes = below[below >= 0]
+        return far[n:]
+
 
 @dataclass
 class Forest:
@@ -69,30 +87,26 @@ class Forest:
         rest = np.maximum(self.longest - (rows.astype("f8") ** 2).sum(1), 0)
         return np.column_stack([rows, np.sqrt(rest)]).astype("f4")
 
-    def search(self, query: np.ndarray, share: float, least: float) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """(tree, leaf) pairs, nearest first, and the sample's rows in them; `least` is in such rows."""
-        margins = [t.planes @ query - t.limits if len(t.limits) else None for t in self.trees]
-        wanted = min(len(self.sample), max(share * len(self.sample), least))
-        seen, held, found = np.zeros(len(self.sample), bool), 0, []
-        queue = [(0.0, i, 0 if len(t.children) else ~0) for i, t in enumerate(self.trees)]
-        while queue and held < wanted:
-            far, i, node = heapq.heappop(queue)
-            tree = self.trees[i]
-            while node >= 0:  # down the near side; the far one waits
-                m = float(margins[i][node])
-                near, other = (1, 0) if m > 0 else (0, 1)
-                heapq.heappush(queue, (far + m * m, i, int(tree.children[node, other])))
-                node = int(tree.children[node, near])
-            found.append((i, ~node))
-            own = tree.members[~node]
-            held += int((~seen[own]).sum())
-            seen[own] = True
-        return found, np.flatnonzero(seen)
+    def visits(self, queries: np.ndarray, share: float, least: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per tree (leaf, query), whether it is visited, and (row, query) whether the sample's row
+        is in such a leaf; `least` is in such rows.
+
+        By rising distance a row is reached with the nearest of its leaves, and the last leaf needed
+        is that of the last row wanted.
+        """
+        far = [t.distances(queries) for t in self.trees]
+        reached = far[0][self.trees[0].leaf_of]
+        for tree, own in zip(self.trees[1:], far[1:], strict=True):
+            np.minimum(reached, own[tree.leaf_of], out=reached)
+        wanted = max(1, int(np.ceil(min(len(self.sample), max(share * len(self.sample), least)))))
+        last = np.partition(np.ascontiguousarray(reached.T), wanted - 1, axis=1)[:, wanted - 1]
+        return [own <= last for own in far], reached <= last
 
 
 def grow(rows: np.ndarray, leaf: float, cell: float, draw: np.random.Generator) -> Tree:
     """A tree of the sample with leaves of at most `leaf` rows, and cells of at most `cell`."""
-    planes, limits, children, cells, members = [], [], [], [], []
+    planes, limits, children, cells = [], [], [], []
+    leaf_of = np.empty(len(rows), "i4")
     n_cells = 0
 
     def split(own: np.ndarray, own_cell: int) -> int:
@@ -124,14 +138,14 @@ def grow(rows: np.ndarray, leaf: float, cell: float, draw: np.random.Generator)
         if own_cell < 0:
             own_cell, n_cells = n_cells, n_cells + 1
         cells.append(own_cell)
-        members.append(own)
+        leaf_of[own] = len(cells) - 1
         return ~(len(cells) - 1)
 
     split(np.arange(len(rows)), -1)
     width = rows.shape[1]
     return Tree(
         np.array(planes, "f4").reshape(-1, width), np.array(limits, "f4"),
-        np.array(children, "i8").reshape(-1, 2), np.array(cells, "i8"), members,
+        np.array(children, "i8").reshape(-1, 2), np.array(cells, "i8"), leaf_of,
     )
 
 
@@ -203,7 +217,8 @@ def search(
     context = spark.sparkContext
     shared = context.broadcast(forest)
     width = forest.sample.shape[1]
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    n_queries = queries.count()
+    blocks = max(1, -(-n_queries // QUERY_ROWS))
     least = LEAST * len(forest.sample) / max(classes.count(), 1)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,51 +238,56 @@ def search(
         own = shared.value
         doubled = own.sample.astype("f8")
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
                 rows = stacked(part.column("v"), width)
-                out = {n: [] for n in ("tree", "cell", "leaves", "q", "v", "bound")}
-                for q, row in zip(part.column("q").to_pylist(), rows, strict=True):
-                    visited, seen = own.search(np.append(row, 0).astype("f4"), share, least)
-                    bound = -np.inf
-                    if len(seen) > k:
-                        products = doubled[seen] @ row.astype("f8")
-                        # less a little, for sums in another order
-                        bound = -np.partition(-products, k)[k] - 1e-9
-                    by_cell: dict[tuple[int, int], list[int]] = {}
-                    for i, leaf in visited:
-                        by_cell.setdefault((i, int(own.trees[i].cells[leaf])), []).append(leaf)
-                    for (i, cell), leaves in by_cell.items():
-                        for name, value in zip(out, (i, cell, leaves, q, row, bound), strict=True):
-                            out[name].append(value)
-                kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.float32()), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out)
-                )
+                visited, seen = own.visits(np.column_stack([rows, np.zeros(len(rows), "f4")]), share, least)
+                bound = np.full(len(rows), -np.inf)
+                if len(doubled) > k:
+                    points = rows.astype("f8")
+                    products = np.where(seen.T, points @ doubled.T, -np.inf)
+                    # less a little, for sums in another order
+                    slack = 1e-9 * np.linalg.norm(points, axis=1) * np.sqrt(own.longest)
+                    bound = np.partition(products, -k - 1, axis=1)[:, -k - 1] - slack
+                for i, (tree, open_) in enumerate(zip(own.trees, visited, strict=True)):
+                    query, leaf = np.nonzero(open_.T)
+                    cell = tree.cells[leaf]
+                    first = np.flatnonzero(np.diff(query, prepend=-1) | np.diff(cell, prepend=-1))
+                    query, ends = query[first], np.append(first, len(leaf))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(first), i, "i4")), pa.array(cell[first].astype("i4")),
+                         pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(leaf.astype("i4"))),
+                         part.column("q").take(pa.array(query)), part.column("v").take(pa.array(query)),
+                         pa.array(bound[query])],
+                        names=["tree", "cell", "leaves", "q", "v", "bound"],
+                    )
 
     def rank_cell(rows: pa.Table, visits: pa.Table) -> pa.Table:
         """Candidates of each visiting query: those of its leaves that reach its bound."""
         out = {"q": [], "c": [], "score": []}
         if rows.num_rows and visits.num_rows:
-            leaf = rows["leaf"].to_numpy()
-            names = rows["c"].to_numpy()
-            vectors = stacked(rows["v"].combine_chunks(), width).astype("f8")
+            order = np.argsort(rows["leaf"].to_numpy(), kind="stable")
+            leaves, firsts = np.unique(rows["leaf"].to_numpy()[order], return_index=True)
+            names = rows["c"].to_numpy()[order]
+            vectors = stacked(rows["v"].combine_chunks(), width)[order].astype("f8")
             bounds, keys = visits["bound"].to_numpy(), visits["q"].to_numpy()
-            wanted = visits["leaves"].combine_chunks()
             points = stacked(visits["v"].combine_chunks(), width).astype("f8")
-            n_leaves = int(leaf.max()) + 1
-            for start in range(0, len(keys), 256):
-                end = min(start + 256, len(keys))
-                open_ = np.zeros((end - start, n_leaves), bool)
-                for i in range(start, end):
-                    own = wanted[i].values.to_numpy()
-                    open_[i - start, own[own < n_leaves]] = True
-                products = points[start:end] @ vectors.T
-                a, b = np.nonzero(open_[:, leaf] & (products >= bounds[start:end, None]))
-                out["q"].append(keys[start:end][a])
-                out["c"].append(names[b])
-                # summed pair by pair: a product of matrices may differ in the last bit by its shape
-                out["score"].append(np.einsum("ij,ij->i", points[start:end][a], vectors[b]))
+            wanted = visits["leaves"].combine_chunks()
+            visited = wanted.flatten().to_numpy()
+            visitor = np.repeat(np.arange(len(keys)), wanted.value_lengths().to_numpy())
+            visitor = visitor[np.argsort(visited, kind="stable")]
+            starts, ends = (np.searchsorted(np.sort(visited), leaves, side) for side in ("left", "right"))
+            for first, last, start, end in zip(firsts, [*firsts[1:], len(names)], starts, ends, strict=True):
+                step = max(1, PAIRS // int(last - first))
+                for at in range(start, end, step):
+                    own = visitor[at : min(at + step, end)]
+                    products = points[own] @ vectors[first:last].T
+                    a, b = np.nonzero(products >= bounds[own, None])
+                    a, b = own[a], first + b
+                    out["q"].append(keys[a])
+                    out["c"].append(names[b])
+                    # summed pair by pair: a product of matrices may differ in the last bit by its shape
+                    out["score"].append(np.einsum("ij,ij->i", points[a], vectors[b]))
         kinds = ("i8", "i8", "f8")
         return pa.table({n: np.concatenate([*v, np.empty(0, t)]).astype(t) for (n, v), t in zip(out.items(), kinds, strict=True)})
 
@@ -275,7 +295,7 @@ def search(
     filed = map_arrow(classes.select("c", "v"), file, "tree int, cell int, leaf int, c long, v array<float>")
     filed = filed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     routed = map_arrow(
-        queries.select("q", "v"), route,
+        queries.select("q", "v").repartition(max(1, -(-n_queries // ROUTE_ROWS)), "q"), route,
         "tree int, cell int, leaves array<int>, q long, v array<float>, bound double",
     ).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     key = ["tree", "cell", "block"]
